@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from graphloom.llm import licenses, mixing, packing, quality, warc
+from graphloom.llm import decontam, licenses, mixing, packing, pii, quality, warc
 from graphloom.llm.htmltext import op7_html_extraction
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
     "op4_mixing": mixing.op4_mixing,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
+    "op8_pii": pii.op8_pii,
     "op9_warc": warc.op9_warc,
     "op10_token_packing": packing.op10_token_packing,
 }
