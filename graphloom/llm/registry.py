@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, licenses, mixing, packing, pii, quality, warc
+from graphloom.llm import decontam, jaccard, licenses, mixing, packing, pii, quality, warc
 from graphloom.llm.htmltext import op7_html_extraction
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_mixing": mixing.op4_mixing,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
