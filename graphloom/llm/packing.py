@@ -53,7 +53,7 @@ class Encoder:
         with open(path or default_vocabulary(), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         full, plain = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("full", self.FULL), ("plain", self.PLAIN)))
-        self._full, self._plain, self.decode = full.encode_ordinary, plain.encode_ordinary, full.decode
+        self._full, self._plain, self.decode, self.piece = full.encode_ordinary, plain.encode_ordinary, full.decode, full.decode_single_token_bytes
         self._run = re.compile(r"\s\s").search
 
     def __call__(self, text: str) -> list[int]:
