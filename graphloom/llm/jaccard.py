@@ -368,10 +368,9 @@ def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
     sets = parquet_cut(candidate_sets(docs, ids, p), "sets")
     chains = cut(chained(rare_first(sets, p), p).distinct())
     links = _search(sets, cut(components(chains)), p)
-    classes_links = known.select("doc_id", *own).join(classes, own).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    twice = classes_links.groupBy("a").agg(F.countDistinct("b").alias("k")).filter("k > 1").select("a")  # ids that stand for several texts
-    stray = classes_links.join(twice, "a", "left_semi")
-    found = cut(components(links.unionByName(stray)))
+    several = known.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")  # ids that may stand for several texts
+    same = known.select("doc_id", *own).join(several, "doc_id", "left_semi").join(classes, own).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = cut(components(links.unionByName(same)))
     named = prints.drop("prefix").join(classes, own, "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = named.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.lineage import cut
-from graphloom.llm.common import ASCII_SPACE, SPACE, WORD, read
+from graphloom.llm.common import ASCII_SPACE, SPACE, read
 
 SYMBOLS = "#*$%&|<>"
 
@@ -41,10 +41,15 @@ class QualityParams:
     )
 
 
-def _shifted(a: Column, k: int) -> Column:
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated a single time; array functions would repeat it wherever it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _doubled(a: Column, k: int) -> Column:
     """Each hash joined with the one k places on."""
-    n = F.size(a)
-    return F.zip_with(F.slice(a, F.lit(1), F.greatest(n - k, F.lit(0))), F.slice(a, F.lit(k + 1), F.greatest(n - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    n = F.size(a) - k
+    return F.zip_with(F.slice(a, F.lit(1), F.greatest(n, F.lit(0))), F.slice(a, F.lit(k + 1), F.greatest(n, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
 
 def repeated_words(words: Column, window: int = 8) -> Column:
@@ -55,38 +60,37 @@ def repeated_words(words: Column, window: int = 8) -> Column:
     """
     if window != 8:
         raise ValueError("windows are built by doubling, for eight words")
-    h = _shifted(_shifted(_shifted(F.transform(words, lambda w: F.xxhash64(w)), 1), 2), 4)
 
-    def covered(hashes: Column) -> Column:
-        tagged = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        n = F.size(hashes)
+    def repeats(s: Column) -> Column:
+        same = lambda i, j: F.get(s, i)["h"] == F.get(s, j)["h"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
+        return F.array_sort(F.transform(starts, lambda i: F.get(s, i)["i"]))
 
-        def repeats(s: Column) -> Column:
-            same = lambda i, j: F.get(s, i)["h"] == F.get(s, j)["h"]
-            starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-            return F.array_sort(F.transform(starts, lambda i: F.get(s, i)["i"]))
+    def width(p: Column) -> Column:
+        gaps = F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window)))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda t, g: t + g)
 
-        def width(p: Column) -> Column:
-            gaps = F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window)))
-            return F.aggregate(gaps, F.lit(0).cast("long"), lambda t, g: t + g)
-
-        once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # evaluates ``value`` one time
-        return once(once(tagged, repeats), width)
+    def covered(hashes: Column) -> Column:
+        tagged = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        count = _once(_once(tagged, repeats), width)
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(count)
 
-    return F.element_at(F.transform(F.array(h), lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(covered(x))), 1)
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    eight = lambda two: _once(_doubled(two, 2), lambda four: _once(_doubled(four, 4), covered))
+    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(_once(one, lambda h: _once(_doubled(h, 1), eight)))
 
 
 def with_metrics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long), behind ``prefix``; a null text has none."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    none = F.translate(t, ASCII_SPACE, "")
-    cols = {
-        "n_words": F.size(words), "word_chars": F.length(none), "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": repeated_words(words),
-    }
-    return docs.withColumns({prefix + k: c.cast("long") for k, c in cols.items()})
+    none = F.length(F.translate(t, ASCII_SPACE, ""))
+    split = F.split(F.btrim(t, F.lit(ASCII_SPACE)), SPACE)
+    words = _once(split, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    lines = _once(F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(ASCII_SPACE))) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    measured = F.struct(words.alias("w"), none.alias("c"), (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).alias("s"), lines.alias("d"))
+    m = F.col("_measured")
+    found = {"n_words": F.when(m["c"] > 0, m["w"]["n"]).otherwise(F.lit(0)), "word_chars": m["c"], "n_symbols": m["s"], "n_dup_lines": m["d"], "n_repeat_words": m["w"]["r"]}
+    return docs.withColumn("_measured", measured).withColumns({prefix + k: c.cast("long") for k, c in found.items()}).drop("_measured")
 
 
 def base_failed(p: QualityParams, prefix: str = "") -> Column:

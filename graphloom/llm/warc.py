@@ -151,7 +151,7 @@ class Archives:
     def add(self, raw: bytes) -> None:
         if self.out is None:
             self.name, self.records, self.size = f"{self.root}/{uuid.uuid4().hex}.warc.zst", 0, 0
-            self.out = self.where.open_output_stream(self.name)
+            self.out = self.where.open_output_stream(self.name, compression=None)  # the suffix would otherwise compress once more
             self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(self.dictionary)) + self.dictionary)
         frame = self.encoder.compress(raw)
         self.out.write(frame)
@@ -222,7 +222,7 @@ def read_archives(manifest: DataFrame, uri: str, p: WarcParams = WarcParams(), w
         for b in batches:
             for path, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows, seen, held = [], 0, 0
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     for headers, block in read_records(stream, p.max_record):
                         rows.append(row(headers, block))
                         seen += 1
