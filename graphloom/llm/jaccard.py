@@ -7,14 +7,15 @@ so that unrelated sets with a passage in common drop out. Sets that share a pref
 costs one edge a row however long the list is, and the chains' components are the clusters. (3) T-occurrence search
 inside each cluster by DivideSkip (Li, Lu, Lu 2008): merge the short inverted lists with a heap, probe the long ones
 by bisection, keep sets that reach the required overlap. Sets already joined by other links need no search, so a dense
-group of near copies costs about as much as its size. A large cluster is searched in blocks: all its sets are
-compared with a few pivots first, and only sets outside the pivots' largest component are sent to every block.
+group of near copies costs about as much as its size. A large cluster is searched in blocks: each by itself first,
+together with a few pivots of the cluster, and then only sets outside its largest component visit the other blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.lineage import cut, parquet_cut
-from graphloom.llm.common import lowered, map_batches, read, words_of
+from graphloom.llm.common import lowered, map_batches, read, slices, words_of
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class JaccardParams:
     percent: int = 80  #: 100 * intersection >= percent * union
     id_bits: int = 26  #: bitmap of candidate ids: 8 MB; a full one only lets more sets through
     shingle_bits: int = 27  #: bitmap of shared shingles: 16 MB; a full one only orders worse
-    block: int = 3000  #: sets of a cluster that one task searches; larger clusters are searched in blocks
+    block: int = 1500  #: sets of a cluster that one task searches; larger clusters are searched in blocks
     pivots: int = 4  #: of each large cluster
 
 
@@ -166,11 +167,12 @@ def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: J
         if union.join(a, b):
             links.append((int(order[a]), int(order[b])))
 
-    # In a group of many sets the most typical ones settle nearly all of it: each is compared with every set.
-    everything = np.concatenate(sets) if n else np.empty(0, np.uint64)
+    if n == 0:
+        return links
     bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    names, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # In a group of many sets the most typical ones settle nearly all of it: each is compared with every set.
     if n > 24:
-        names, number, df = np.unique(everything, return_inverse=True, return_counts=True)
         typical = np.add.reduceat(df[number], bounds[:-1]) / np.array(sizes)
         done = np.zeros(n, bool)
         for _ in range(6):
@@ -187,23 +189,22 @@ def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: J
             done[near] = True
             done[pivot] = True
     roots = [union.find(k) for k in range(n)]
-    if n == 0 or len(set(roots)) == 1:
+    if len(set(roots)) == 1:
         return links
-    home = max(set(roots), key=roots.count)
+    home = Counter(roots).most_common(1)[0][0]
     whole = bool(queries.all())  # then of two sets in different components, the one outside the largest asks
     ask = [k for k in range(n) if asked[k] and (roots[k] != home or not whole)]
-    index: dict[int, list[int]] = {}
-    for k, x in enumerate(sets):
-        for h in x.tolist():
-            index.setdefault(h, []).append(k)
     asking = set(ask)
+    # Inverted lists, one after the other: the sets that hold shingle j are holders[start[j]:start[j + 1]], ascending.
+    holders = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(number, kind="stable")]
+    start = np.r_[0, np.cumsum(df)]
     for k in ask:
-        # Sizes ascend, so a partner's size lies in a range of numbers; partners that ask themselves are met from one side.
-        lists = [index[h] for h in sets[k].tolist() if len(index[h]) > 1]
+        mine = number[bounds[k] : bounds[k + 1]]
+        lists = [holders[start[j] : start[j + 1]].tolist() for j in mine[df[mine] > 1].tolist()]
         least = required(sizes[k], -(-p.percent * sizes[k] // 100), p.percent)
         for c in divide_skip(lists, min(least, sizes[k]), n):
             if c == k or (c in asking and c > k) or union.find(c) == union.find(k):
-                continue
+                continue  # partners that ask themselves are met from one side
             if linked(sets[k], sets[c], p.percent):
                 link(k, c)
     return links
@@ -305,40 +306,85 @@ def chained(postings: DataFrame, p: JaccardParams) -> DataFrame:
     return rows.filter((F.col("m") * 100 >= F.col("n") * p.percent) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b"))
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, p: JaccardParams) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``, and of a few others that share their place in the bitmap."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_bitmap(ids.select(_id_position(F.col("id"), p.id_bits).alias("pos")), p.id_bits))
+def _sets_of(docs: DataFrame, ids: DataFrame, p: JaccardParams):
+    """(rows, each): the documents to map, and a generator over (ids, sets) of those in ``ids`` and of a few others that
+    share their place in the bitmap. Sets are made again from the texts wherever they are needed; stored, they would
+    take several times the input."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(_id_position(F.col("id"), p.id_bits).alias("pos")), p.id_bits))
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), _id_position(F.col("doc_id"), p.id_bits).alias("pos"), "text")
 
-    def make():
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
         hashes, bitmap = WordHashes(), wanted.value
+        for whole in batches:
+            for b in slices(whole, 2):
+                keep = b.filter(pa.array(_has(bitmap, b.column(1).to_numpy(zero_copy_only=False))))
+                if keep.num_rows:
+                    yield keep.column(0), [shingle_set(words_of(t), hashes, p.width) for t in lowered(keep.column(2))]
 
-        def each(b: pa.RecordBatch):
-            keep = b.filter(pa.array(_has(bitmap, b.column(1).to_numpy(zero_copy_only=False))))
-            if keep.num_rows:
-                sets = [shingle_set(words_of(t), hashes, p.width) for t in lowered(keep.column(2))]
-                yield pa.RecordBatch.from_arrays([keep.column(0), _lists(sets)], ["id", "shingles"])
+    return rows, each
 
-        return each
 
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), _id_position(F.col("doc_id"), p.id_bits).alias("pos"), "text")
-    return map_batches(rows, "id long, shingles array<long>", make, "text")
+def candidate_sets(docs: DataFrame, ids: DataFrame, p: JaccardParams) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``, and of a few others."""
+    rows, each = _sets_of(docs, ids, p)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, sets in each(batches):
+            yield pa.RecordBatch.from_arrays([owners, _lists(sets)], ["id", "shingles"])
 
-def rare_first(sets: DataFrame, p: JaccardParams) -> DataFrame:
-    """(h, id, n): the shared shingles in each set's prefix, where shingles that no other set has come first."""
-    spark = sets.sparkSession
-    shared = sets.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared.select(F.shiftrightunsigned("h", 64 - p.shingle_bits).alias("pos")), p.shingle_bits))
+    return rows.mapInArrow(run, "id long, shingles array<long>")
 
-    def make():
-        bits, down = bitmap.value, np.uint64(64 - p.shingle_bits)
 
-        def each(b: pa.RecordBatch):
+def shared_shingles(docs: DataFrame, ids: DataFrame, total: int, p: JaccardParams, chunk: int = 2_000_000, bucket: int = 8_000_000) -> np.ndarray:
+    """A bitmap of the shingles that occur in two or more of the sets.
+
+    Tasks deal their shingles by leading bits, as packed 32-bit remainders, each value twice at most for a chunk; so a
+    frequent shingle adds two numbers a chunk, and the number of buckets grows with the total. What looks shared only
+    because its kept bits are those of another shingle is ordered later, which costs a little pruning and loses nothing.
+    """
+    rows, each = _sets_of(docs, ids, p)
+    k = max(6, (max(1, total) // bucket).bit_length())
+    bits = p.shingle_bits
+
+    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
+        v, c = np.unique(np.concatenate(held) >> np.uint64(32 - k), return_counts=True)
+        v = np.repeat(v, np.minimum(c, 2))
+        at = np.searchsorted(v >> np.uint64(32), np.arange((1 << k) + 1, dtype=np.uint64))
+        low = v.astype(np.uint32)
+        used = np.flatnonzero(at[1:] > at[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array([low[at[x] : at[x + 1]].tobytes() for x in used], pa.binary())], ["bucket", "low"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, sets in each(batches):
+            held += sets
+            n += sum(map(len, sets))
+            if n >= chunk:
+                yield deal(held)
+                held, n = [], 0
+        if held:
+            yield deal(held)
+
+    def twice(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["low"]]))
+        both = v[1:][v[1:] == v[:-1]].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32)
+        return pd.DataFrame({"pos": np.unique(both >> (k + 32 - bits))})
+
+    dealt = rows.mapInArrow(run, "bucket long, low binary")
+    return _bitmap(dealt.groupBy("bucket").applyInPandas(twice, "pos long"), bits)
+
+
+def rare_first(docs: DataFrame, ids: DataFrame, total: int, p: JaccardParams) -> DataFrame:
+    """(h, id, n): the shared shingles in each set's prefix, where shingles that no other set has come first."""
+    shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, ids, total, p))
+    rows, each = _sets_of(docs, ids, p)
+    down = 64 - p.shingle_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owners, sets in each(batches):
             ids, ns, hs = [], [], []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1)):
-                a = s.values.to_numpy().view(np.uint64)
-                common = a[_has(bits, (a >> down).astype(np.int64))]
+            for k, a in zip(owners.to_pylist(), sets):
+                common = a[_has(shared.value, (a >> np.uint64(down)).astype(np.int64))]
                 take = common[: max(0, prefix_length(len(a), p.percent) - (len(a) - len(common)))]
                 if len(take):
                     hs.append(take.view(np.int64))
@@ -347,9 +393,7 @@ def rare_first(sets: DataFrame, p: JaccardParams) -> DataFrame:
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ns)], ["h", "id", "n"])
 
-        return each
-
-    return map_batches(sets, "h long, id long, n long", make)
+    return rows.mapInArrow(run, "h long, id long, n long")
 
 
 def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
@@ -365,9 +409,9 @@ def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
     reps = _representatives(known, classes)
     first = chained(reps.select(F.explode("prefix").alias("h"), F.col("rep").alias("id"), "n"), p)
     ids = cut(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = parquet_cut(candidate_sets(docs, ids, p), "sets")
-    chains = cut(chained(rare_first(sets, p), p).distinct())
-    links = _search(sets, cut(components(chains)), p)
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    clusters = cut(components(chained(rare_first(docs, ids, total, p), p).distinct()))
+    links = _search(parquet_cut(candidate_sets(docs, clusters.select("id"), p), "sets"), clusters, p)
     several = known.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")  # ids that may stand for several texts
     same = known.select("doc_id", *own).join(several, "doc_id", "left_semi").join(classes, own).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = cut(components(links.unionByName(same)))
@@ -392,32 +436,29 @@ def _search(sets: DataFrame, clusters: DataFrame, p: JaccardParams) -> DataFrame
     big = cut(sizes.filter(F.col("size") > p.block))
     if not big.limit(1).count():
         return cut(links)
-    members = parquet_cut(tagged.filter(F.col("size") > p.block), "large")
-    star = cut(_pivot_links(members, p))
-    marks = cut(components(star))
-    labelled = members.join(marks.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
-    homes = labelled.filter("label >= 0").groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("home"))
-    placed = labelled.join(homes, "cluster", "left").withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    stray = F.col("home").isNull() | (F.col("label") != F.col("home"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = tagged.filter(F.col("size") > p.block).withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int")).withColumn("block", block)
+    members = parquet_cut(members.select("cluster", "blocks", "block", "id", "shingles"), "large")
     cols = ["cluster", "block", "id", "label", "ask", "shingles"]
-    resident = placed.withColumn("ask", stray).select(*cols)
-    visiting = placed.filter(stray).withColumn("ask", F.lit(True)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block").drop("block").withColumnRenamed("other", "block").select(*cols)
-    return cut(links.unionByName(star).unionByName(search_groups(resident.unionByName(visiting), p)))
-
-
-def _pivot_links(members: DataFrame, p: JaccardParams) -> DataFrame:
-    """Links of each large cluster's sets with its pivots, spread over sizes."""
+    away = lambda df: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block").drop("block").withColumnRenamed("other", "block")
+    # First every block by itself, with the cluster's pivots as guests that tie the blocks together.
     order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"))
-    pick = members.select("cluster", "id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= p.pivots).select("cluster", "id")
-    pivots = pick.join(members.select("id", "shingles"), "id").select("cluster", F.col("id").alias("pivot"), F.col("shingles").alias("other"))
-    pairs = members.select("cluster", "id", "shingles").join(pivots, "cluster").filter("id <> pivot").select("id", "pivot", "shingles", "other")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [linked(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), p.percent) for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
+    pivots = members.select("cluster", "id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= p.pivots).select("id")
+    guests = away(members.join(pivots, "id", "left_semi"))
+    alone = members.unionByName(guests).withColumns({"label": F.lit(-1).cast("long"), "ask": F.lit(True)}).select(*cols)
+    star = cut(search_groups(alone, p))
+    # Then what isn't in a cluster's largest component visits the other blocks, in parties of a block's size.
+    marks = cut(components(star))
+    labelled = members.join(marks.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    count = labelled.groupBy("cluster", "label").count().groupBy("cluster")
+    known = F.when(F.col("label") >= 0, F.struct("count", "label"))
+    homes = cut(count.agg(F.max_by(F.when(F.col("label") >= 0, F.col("label")), known).alias("home"), F.sum("count").alias("all"), F.max(F.when(F.col("label") >= 0, F.col("count"))).alias("at_home")))
+    homes = homes.select("cluster", "home", F.greatest(F.lit(1), F.ceil((F.col("all") - F.coalesce("at_home", F.lit(0))) / p.block)).cast("int").alias("parties"))
+    placed = labelled.join(homes, "cluster")
+    stray = placed.filter(F.col("home").isNull() | (F.col("label") != F.col("home"))).withColumn("ask", F.lit(True)).withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int"))
+    resident = placed.withColumn("ask", F.lit(False)).withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1)))
+    visits = away(stray).unionByName(resident).withColumn("block", F.col("party") * F.col("blocks") + F.col("block")).select(*cols)
+    return cut(links.unionByName(star).unionByName(search_groups(visits, p)))
 
 
 def drop_near_copies(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
