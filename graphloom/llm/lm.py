@@ -38,7 +38,7 @@ class LmParams:
     add: float = 0.1  #: added to every count
     symbols: int = 992  #: most frequent subwords with embeddings of their own; others share one for their class
     bands: int = 10  #: frequency bands of each kind of subword; kinds x bands are the classes
-    warm_documents: int = 1500  #: documents, by hash of their id, on which the weights start; every training document then takes part
+    warm_documents: int = 1500  #: documents, about, by hash of their id, on which the weights start; every training document then takes part
     warm_epochs: int = 6
     window_chars: int = 256  #: the stretch of each training document that the weights are fitted on, at a place drawn by its id
     rate: float = 0.01
@@ -205,12 +205,13 @@ def windows(texts: list[str], seeds: list[int], sub: Subwords, encode: Encoder,
     return np.array(xs), np.array(ys)
 
 
-def fit(rows: DataFrame, sub: Subwords, p: LmParams) -> dict[str, np.ndarray]:
+def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np.ndarray]:
     """Weights from a bounded start on the driver, then one round in which every task trains on a stretch of each of its
     training documents and the results are averaged by windows. ``rows`` has (doc_id, seed, text) of training documents."""
     shape = sub.shape
     path = p.vocabulary
-    some = rows.select("seed", F.substring("text", 1, 4 * p.window_chars).alias("text")).orderBy("seed", "text").limit(p.warm_documents).collect()
+    share = max(1, count // p.warm_documents)
+    some = rows.filter(F.col("seed") % share == 0).select("seed", F.substring("text", 1, 4 * p.window_chars).alias("text")).limit(2 * p.warm_documents).collect()
     encode = Encoder(path)
     some_texts = [(r["text"] or "").encode().lower().decode() for r in some]
     x, y = windows(some_texts, [r["seed"] for r in some], sub, encode, p)
@@ -319,7 +320,7 @@ def score_documents(docs: DataFrame, p: LmParams = LmParams(), doc_id: str = "do
     classes = class_of_ids(id_counts, pieces, p.bands)
     sub = Subwords.build(id_counts, subword_pairs(counts, classes, p.vocabulary), classes, p.symbols, p.add)
     seed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    weights = fit(learn.select(seed.alias("seed"), "text"), sub, p)
+    weights = fit(learn.select(seed.alias("seed"), "text"), ends, sub, p)
     model = spark.sparkContext.broadcast((sub, weights))
     end_log = log(ends)
 

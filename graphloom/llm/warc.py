@@ -36,7 +36,7 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 class WarcParams:
     min_bytes: int = 0  #: payloads below this are always stored
     dictionary_bytes: int = 16 << 10
-    dictionary_samples: int = 400  #: pages that the dictionary is fitted on, by hash of their id
+    dictionary_samples: int = 400  #: pages that the dictionary is fitted on, about, by hash of their id; twice as many at most
     level: int = 3
     roll_bytes: int = 48 << 20  #: an archive is closed beyond this
     max_record: int = 1 << 30  #: a decoded record beyond this is refused
@@ -183,7 +183,8 @@ def write_archives(pages: DataFrame, uri: str, p: WarcParams = WarcParams()) ->
     told = rows.join(groups.select("sha", "kept"), "sha", "left")
     copies = F.when((F.length("body") >= p.min_bytes) & (F.col("kept") != F.coalesce("page_id", F.col("kept") - 1)), F.col("kept"))
     told = told.select("page_id", "url", "body", copies.alias("refers_to"))
-    sample = pages.select("page_id", F.substring(F.coalesce("html", F.lit("")), 1, 4096).alias("t")).orderBy(F.xxhash64("page_id")).limit(p.dictionary_samples).collect()
+    share = max(1, pages.count() // p.dictionary_samples)
+    sample = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(share)) == 0).select(F.substring(F.coalesce("html", F.lit("")), 1, 4096).alias("t")).limit(2 * p.dictionary_samples).collect()
     dictionary = fit_dictionary([r["t"].encode() for r in sample], p.dictionary_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,8 @@ def read_archives(manifest: DataFrame, uri: str, p: WarcParams = WarcParams(), w
                 if rows:
                     yield pack(rows)
 
-    files = manifest.select("path", "records").repartition("path")
+    tasks = min(10_000, max(1, manifest.count()))  # a number, as few rows would otherwise be coalesced into one task
+    files = manifest.select("path", "records").repartition(tasks, "path")
     return files.mapInArrow(run, schema)
 
 
