@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -100,40 +101,38 @@ class Union:
         return True
 
 
-def divide_skip(lists: list[list[int]], need: int, stop: int) -> Iterator[int]:
-    """Numbers below ``stop`` that occur in at least ``need`` of the sorted lists."""
-    lists = [x for x in lists if x and x[0] < stop]
+def divide_skip(lists: list[np.ndarray], need: int, stop: int, wanted=None, heap: int = 4096) -> list[int]:
+    """Numbers below ``stop`` that occur in at least ``need`` of the sorted lists, ascending.
+
+    Short lists are merged with a heap, or by sorting them together when they hold more than ``heap`` numbers; the long
+    ones are probed by bisection, for all candidates at once. ``wanted`` maps candidates to a mask of those of interest.
+    """
+    lists = [x for x in lists if len(x) and x[0] < stop]
     if need < 1 or len(lists) < need:
-        return
+        return []
     lists.sort(key=len, reverse=True)
-    longest = len(lists[0])
-    skip = min(need - 1, int(need / (0.01 * max(1.0, np.log2(longest + 1)) + 1)))
-    long, short, least = lists[:skip], lists[skip:], need - skip
-    count, last = 0, -1
-
-    def total(k: int, seen: int) -> bool:
-        left = len(long)
-        for x in long:
-            if seen >= need:
-                return True
-            if seen + left < need:
-                return False
-            at = bisect_left(x, k)
-            seen += at < len(x) and x[at] == k
-            left -= 1
-        return seen >= need
-
-    for k in heapq.merge(*short):
-        if k >= stop:
-            break
-        if k == last:
-            count += 1
-            continue
-        if count >= least and total(last, count):
-            yield last
-        last, count = k, 1
-    if count >= least and last >= 0 and total(last, count):
-        yield last
+    skip = min(need - 1, int(need / (0.01 * max(1.0, np.log2(len(lists[0]) + 1)) + 1)))
+    long, short = lists[:skip], lists[skip:]
+    if sum(map(len, short)) <= heap:
+        runs = [(k, len(list(g))) for k, g in groupby(heapq.merge(*[x.tolist() for x in short]))]
+        number, count = np.array([k for k, _ in runs], dtype=np.int64), np.array([c for _, c in runs], dtype=np.int64)
+    else:
+        number, count = np.unique(np.concatenate(short), return_counts=True)
+    keep = (count >= need - skip) & (number < stop)
+    number, count = number[keep], count[keep]
+    if wanted is not None and len(number):
+        keep = wanted(number)
+        number, count = number[keep], count[keep]
+    for left, x in zip(range(len(long), 0, -1), long):
+        keep = count + left >= need
+        if not keep.all():
+            number, count = number[keep], count[keep]
+        if not len(number):
+            return []
+        at = np.searchsorted(x, number)
+        at[at == len(x)] = 0
+        count = count + (x[at] == number)
+    return number[count >= need].tolist()
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -200,12 +199,15 @@ def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: J
     start = np.r_[0, np.cumsum(df)]
     for k in ask:
         mine = number[bounds[k] : bounds[k + 1]]
-        lists = [holders[start[j] : start[j + 1]].tolist() for j in mine[df[mine] > 1].tolist()]
+        lists = [holders[start[j] : start[j + 1]] for j in mine[df[mine] > 1].tolist()]
+        own = union.find(k)
+
+        def wanted(c: np.ndarray, k: int = k, own: int = own) -> np.ndarray:  # partners that ask themselves are met from one side
+            return np.array([x != k and not (x in asking and x > k) and union.find(x) != own for x in c.tolist()], dtype=bool)
+
         least = required(sizes[k], -(-p.percent * sizes[k] // 100), p.percent)
-        for c in divide_skip(lists, min(least, sizes[k]), n):
-            if c == k or (c in asking and c > k) or union.find(c) == union.find(k):
-                continue  # partners that ask themselves are met from one side
-            if linked(sets[k], sets[c], p.percent):
+        for c in divide_skip(lists, min(least, sizes[k]), n, wanted):
+            if union.find(c) != union.find(k) and linked(sets[k], sets[c], p.percent):
                 link(k, c)
     return links
 

@@ -115,7 +115,9 @@ def test_divide_skip():
         lists = [sorted(set(rng.integers(0, 30, rng.integers(1, 20)).tolist())) for _ in range(25)]
         c = Counter(x for s in lists for x in s)
         for need in (1, 5, 12, 20):
-            assert sorted(jaccard.divide_skip([list(x) for x in lists], need, 25)) == sorted(k for k, n in c.items() if n >= need and k < 25)
+            want = sorted(k for k, n in c.items() if n >= need and k < 25)
+            for heap in (0, 4096):
+                assert jaccard.divide_skip([np.array(x) for x in lists], need, 25, heap=heap) == want
 
 
 def test_jaccard_empty(spark):
