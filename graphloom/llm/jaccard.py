@@ -213,7 +213,11 @@ def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: J
 
 
 def search_groups(groups: DataFrame, p: JaccardParams) -> DataFrame:
-    """(cluster, block, id, label, ask, set) rows to connecting links (a, b)."""
+    """(cluster, block, id, label, ask, set) rows to connecting links (a, b).
+
+    Groups are dealt by cluster and block: rows that come from a join on the cluster would otherwise stay where they are,
+    all blocks of a cluster in one task. A number of partitions keeps them from being merged by bytes; time goes by pairs.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
@@ -221,7 +225,8 @@ def search_groups(groups: DataFrame, p: JaccardParams) -> DataFrame:
         got = search(sets, pdf["ask"].to_numpy(dtype=bool), pdf["label"].to_numpy(dtype=np.int64), p)
         return pd.DataFrame({"a": [ids[x] for x, _ in got], "b": [ids[y] for _, y in got]}, dtype="int64")
 
-    return groups.groupBy("cluster", "block").applyInPandas(run, "a long, b long")
+    n = 2 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(n, "cluster", "block").groupBy("cluster", "block").applyInPandas(run, "a long, b long")
 
 
 # ---- components of a graph
