@@ -38,9 +38,9 @@ class LmParams:
     add: float = 0.1  #: added to every count
     symbols: int = 992  #: most frequent subwords with embeddings of their own; others share one for their class
     bands: int = 10  #: frequency bands of each kind of subword; kinds x bands are the classes
-    warm_documents: int = 1500  #: documents, about, by hash of their id, on which the weights start; every training document then takes part
+    warm_documents: int = 1500  #: documents, about, by hash of their id, on which the weights start; the whole of every training document then takes part
     warm_epochs: int = 6
-    window_chars: int = 256  #: the stretch of each training document that the weights are fitted on, at a place drawn by its id
+    window_chars: int = 256  #: the stretch of each of those documents, at a place drawn by its id
     rate: float = 0.01
     vocabulary: str = ""
 
@@ -178,7 +178,7 @@ def subword_pairs(words: DataFrame, classes: np.ndarray, path: str) -> np.ndarra
 
 
 def windows(texts: list[str], seeds: list[int], sub: Subwords, encode: Encoder, p: LmParams) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, target classes) of one stretch of each text, in windows of two blocks."""
+    """(symbols, target classes) of one stretch of each text, in windows of two blocks; the start of the weights."""
     b = sub.shape.block
     xs, ys = [], []
     for t, seed in zip(texts, seeds):
@@ -205,8 +205,27 @@ def windows(texts: list[str], seeds: list[int], sub: Subwords, encode: Encoder,
     return np.array(xs), np.array(ys)
 
 
+def all_windows(texts: list[str], sub: Subwords, encode: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, target classes) of whole texts, in windows of two blocks: every subword and every end is a target once."""
+    b = sub.shape.block
+    xs, ys = [np.empty((0, 2 * b), np.int64)], [np.empty((0, 2 * b), np.int64)]
+    for t in texts:
+        words = words_of(t)
+        ids = np.array([END_ID, *(encode(" " + " ".join(words)) if words else []), END_ID])
+        n = -(-(len(ids) - 1) // b)
+        x, y = np.full((n + 1) * b, sub.symbol[END_ID], np.int64), np.full((n, 2 * b), -1, np.int64)
+        x[b : b + len(ids) - 1] = sub.symbol[ids[:-1]]
+        x = x.reshape(n + 1, b)
+        tgt = np.full(n * b, -1, np.int64)
+        tgt[: len(ids) - 1] = sub.cls[ids[1:]]
+        y[:, b:] = tgt.reshape(n, b)
+        xs.append(np.concatenate([x[:-1], x[1:]], axis=1))
+        ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np.ndarray]:
-    """Weights from a bounded start on the driver, then one round in which every task trains on a stretch of each of its
+    """Weights from a bounded start on the driver, then one round in which every task trains on the whole of each of its
     training documents and the results are averaged by windows. ``rows`` has (doc_id, seed, text) of training documents."""
     shape = sub.shape
     path = p.vocabulary
@@ -229,8 +248,8 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
             seen, held, count = seen + len(xs), [], 0
 
         for b in batches:
-            for part in slices(b, 1):
-                got = windows(lowered(part.column(1)), part.column(0).to_pylist(), sub, encode, p)
+            for part in slices(b, 0, 1 << 20):
+                got = all_windows(lowered(part.column(0)), sub, encode)
                 if len(got[0]):
                     held.append(got)
                     count += len(got[0])
@@ -242,7 +261,7 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
             flat = shape.pack(now)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["k", "v", "n"])
 
-    got = rows.select("seed", "text").mapInArrow(run, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()  # one row for each weight
+    got = rows.select("text").mapInArrow(run, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()  # one row for each weight
     if not got:
         return w
     flat = np.zeros(len(shape.pack(w)))

@@ -251,6 +251,23 @@ def test_lm_scores(spark, sf, odd):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_learns_from_whole_texts(spark):
+    """Every subword is a target of the windows, and texts that differ only far from their start give different weights."""
+    path, encode = "", lm.Encoder("")
+    classes = lm.class_of_ids(np.zeros(lm.VOCABULARY), [encode.piece(k) for k in range(lm.VOCABULARY - 1)] + [b""], 2)
+    k = int(classes.max()) + 1
+    sub = lm.Subwords.build(np.zeros(lm.VOCABULARY), np.zeros((k, lm.VOCABULARY)), classes, 50, 0.1)
+    texts = ["", "one", "the whole of it " * 5000]
+    x, y = lm.all_windows(texts, sub, encode)
+    assert (y >= 0).sum() == sum(len(encode(" " + " ".join(t.split()))) + 1 if t else 1 for t in texts) and x.shape == y.shape
+
+    def weights(tail):
+        rows = spark.createDataFrame([(0, "one two three " * 100 + tail)], "seed long, text string")
+        return sub.shape.pack(lm.fit(rows, 1, sub, lm.LmParams(warm_epochs=1, vocabulary=path)))
+
+    assert np.abs(weights("red blue " * 50) - weights("cat 1234 " * 50)).max() > 1e-4
+
+
 def test_attention_gradient_and_batches():
     from graphloom.llm.attention import NAMES, Scorer, Shape, gradient
 
