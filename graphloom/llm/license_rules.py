@@ -1,6 +1,7 @@
 """Signature rules for licence notices, written by hand.
 
-Each line: priority | keyword | label | regex. A rule runs only on texts that have its keyword as a word. The regex
+Each line: priority | keyword | label | regex. A rule runs only on texts that have its keyword, or one of
+several parted by slashes, as a word; every match must hold one of them. The regex
 matches the lower-case words of a text joined by single blanks, from a word's start to a word's end.
 Priorities: 9 licence text, 8 grant or full notice, 7 identifier tag or address, 6 full name with version, 5 full name,
 4 short name with version, 3 short name, 2 loose mention. The three base rules are marked by an exclamation mark.
@@ -54,8 +55,8 @@ RULES = r"""
 6 | bsd | bsd-2-clause | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: licen[sc]e)?
 6 | bsd | bsd-3-clause | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)(?: licen[sc]e)?
 6 | bsd | bsd-4-clause | (?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?
-6 | bsd | bsd-2-clause | freebsd licen[sc]e
-5 | 0bsd | 0bsd | (?:zero clause bsd(?: licen[sc]e)?|0bsd)
+6 | freebsd | bsd-2-clause | freebsd licen[sc]e
+5 | bsd/0bsd | 0bsd | (?:zero clause bsd(?: licen[sc]e)?|0bsd)
 5 | bsd | bsd | bsd(?: style)? licen[sc]e
 3 | bsd | bsd | bsd licen[sc]ed
 8 | gnu | gpl-3.0-or-later | it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
@@ -64,7 +65,7 @@ RULES = r"""
 8 | gnu | gpl-3.0-only | it under the terms of the gnu general public license version 3 as published by the free software foundation
 8 | gnu | gpl-3.0 | (?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e(?: version)? v?3(?: 0)?
 8 | gnu | gpl-2.0 | (?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e(?: version)? v?2(?: 0)?
-8 | gnu | gpl | (?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:gnu )?general public licen[sc]e
+8 | general | gpl | (?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:gnu )?general public licen[sc]e
 7 | spdx | gpl-3.0-only | spdx license identifier gpl 3 0(?: only)?
 7 | spdx | gpl-3.0-or-later | spdx license identifier gpl 3 0 or later
 7 | spdx | gpl-2.0-only | spdx license identifier gpl 2 0(?: only)?
@@ -150,9 +151,9 @@ RULES = r"""
 7 | spdx | unlicense | spdx license identifier unlicense
 7 | unlicense | unlicense | (?:https? )?unlicense org
 5 | unlicense | unlicense | the unlicense
-8 | wtfpl | wtfpl | do what the fuck you want to public licen[sc]e
+8 | fuck | wtfpl | do what the fuck you want to public licen[sc]e
 3 | wtfpl | wtfpl | wtfpl
-9 | zlib | zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+9 | liable | zlib | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
 7 | spdx | zlib | spdx license identifier zlib
 5 | zlib | zlib | zlib(?: libpng)? licen[sc]e
 5 | libpng | libpng | libpng licen[sc]e
@@ -160,9 +161,9 @@ RULES = r"""
 4 | artistic | artistic | (?:the )?artistic licen[sc]e
 7 | spdx | artistic-2.0 | spdx license identifier artistic 2 0
 8 | perl | perl | (?:free software you can redistribute it and or modify it )?under the same terms as perl(?: itself)?
-8 | python | psf | licensed to psf under a contributor agreement
+8 | psf | psf | licensed to psf under a contributor agreement
 6 | python | psf-2.0 | python software foundation licen[sc]e(?: version 2)?
-5 | python | psf | (?:psf|python) licen[sc]e(?: agreement)?
+5 | psf/python | psf | (?:psf|python) licen[sc]e(?: agreement)?
 5 | ruby | ruby | ruby licen[sc]e
 5 | php | php-3.01 | php licen[sc]e(?: version)?(?: 3 0?1)?
 8 | php | php-3.01 | this source file is subject to version 3 0?1 of the php license
@@ -175,16 +176,16 @@ RULES = r"""
 5 | vim | vim | vim licen[sc]e
 5 | sleepycat | sleepycat | sleepycat licen[sc]e
 5 | academic | afl-3.0 | academic free licen[sc]e(?: (?:version |v )?3(?: 0)?)?
-5 | osl | osl-3.0 | open software licen[sc]e(?: osl)?(?: (?:version |v )?3(?: 0)?)?
-6 | eupl | eupl-1.2 | european union public licen[sc]e(?: eupl)?(?: (?:version |v )?1 [12])?
+5 | software | osl-3.0 | open software licen[sc]e(?: osl)?(?: (?:version |v )?3(?: 0)?)?
+6 | european | eupl-1.2 | european union public licen[sc]e(?: eupl)?(?: (?:version |v )?1 [12])?
 3 | eupl | eupl | eupl(?: 1 [12]| v1 [12])?
 5 | cecill | cecill | cecill(?: [abc])?(?: (?:version |v )?2(?: [01])?)?
-5 | ofl | ofl-1.1 | (?:sil )?open font licen[sc]e(?: ofl)?(?: (?:version |v )?1 1)?
+5 | font | ofl-1.1 | (?:sil )?open font licen[sc]e(?: ofl)?(?: (?:version |v )?1 1)?
 8 | sil | ofl-1.1 | this font software is licensed under the sil open font license(?: version 1 1)?
 7 | scripts | ofl-1.1 | (?:https? )?scripts sil org ofl
 5 | ubuntu | ubuntu-font | ubuntu font licen[sc]e(?: 1 0)?
 5 | bitstream | bitstream-vera | bitstream vera(?: fonts)?(?: copyright| licen[sc]e)
-5 | upl | upl-1.0 | universal permissive licen[sc]e(?: upl)?(?: (?:version |v )?1(?: 0)?)?
+5 | permissive | upl-1.0 | universal permissive licen[sc]e(?: upl)?(?: (?:version |v )?1(?: 0)?)?
 5 | blue | blueoak-1.0.0 | blue oak model licen[sc]e(?: 1 0 0)?
 8 | business | busl-1.1 | business source licen[sc]e(?: (?:version |v )?1 1)?
 7 | spdx | busl-1.1 | spdx license identifier busl 1 1
@@ -237,23 +238,23 @@ RULES = r"""
 3 | cc | cc-by-nd | cc by nd
 3 | cc | cc-by-sa | cc by sa
 3 | cc0 | cc0-1.0 | cc0(?: 1 0)?(?: universal)?
-8 | odbl | odbl-1.0 | open (?:data commons open )?database licen[sc]e(?: odbl)?(?: (?:version |v )?1 0)?
+8 | database | odbl-1.0 | open (?:data commons open )?database licen[sc]e(?: odbl)?(?: (?:version |v )?1 0)?
 3 | odbl | odbl-1.0 | odbl(?: 1 0)?
-5 | odc | odc-by-1.0 | open data commons attribution licen[sc]e(?: odc by)?(?: v1 0)?
+5 | attribution | odc-by-1.0 | open data commons attribution licen[sc]e(?: odc by)?(?: v1 0)?
 5 | pddl | pddl-1.0 | (?:public domain dedication and licen[sc]e )?pddl(?: 1 0)?
-6 | ogl | ogl-uk-3.0 | open government licen[sc]e(?: ogl)?(?: v ?3 0)?
+6 | government | ogl-uk-3.0 | open government licen[sc]e(?: ogl)?(?: v ?3 0)?
 5 | community | cdla-permissive | community data licen[sc]e agreement permissive(?: (?:version )?[12] 0)?
 5 | community | cdla-sharing | community data licen[sc]e agreement sharing(?: (?:version )?1 0)?
 8 | public | public-domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
 5 | public | public-domain | this (?:work|file|code|program|document) is (?:in|hereby placed in) the public domain
-8 | responsible | openrail | (?:creativeml )?open rail(?: m)?(?: licen[sc]e)?
+8 | rail | openrail | (?:creativeml )?open rail(?: m)?(?: licen[sc]e)?
 5 | openrail | openrail | (?:bigscience |creativeml )?openrail(?: m)?(?: licen[sc]e)?
 6 | llama | llama | llama (?:2|3|3 1|3 2) community licen[sc]e(?: agreement)?
 6 | gemma | gemma | gemma terms of use
 8 | rights | proprietary | all rights reserved
 8 | confidential | proprietary | (?:proprietary and confidential|confidential and proprietary)
-8 | reproduced | proprietary | (?:may not|must not|no part of this .{1,40}? may) be (?:reproduced|copied|distributed)(?: .{1,60}?)? without (?:the )?(?:prior |express )?(?:written )?(?:permission|consent)
-5 | proprietary | proprietary | (?:end user licen[sc]e agreement|proprietary licen[sc]e)
+8 | reproduced/copied/distributed | proprietary | (?:may not|must not|no part of this .{1,40}? may) be (?:reproduced|copied|distributed)(?: .{1,60}?)? without (?:the )?(?:prior |express )?(?:written )?(?:permission|consent)
+5 | user/proprietary | proprietary | (?:end user licen[sc]e agreement|proprietary licen[sc]e)
 5 | eula | proprietary | eula
 2 | copyright | copyright | copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
 """

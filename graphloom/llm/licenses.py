@@ -41,12 +41,13 @@ class Place:
 
 @lru_cache(maxsize=1)
 def rules() -> dict[str, tuple[Rule, ...]]:
-    """The rules by keyword, in the order written."""
+    """The rules by keyword, in the order written; a rule with several keywords stands under each."""
     found: dict[str, list[Rule]] = {}
     for k, line in enumerate(x for x in RULES.splitlines() if x.strip()):
-        priority, keyword, label, regex = (x.strip() for x in line.split("|", 3))
-        rule = Rule(k, int(priority.rstrip("!")), priority.endswith("!"), keyword, label, re.compile(rf"(?<![^ ])(?:{regex})(?![^ ])"))
-        found.setdefault(keyword, []).append(rule)
+        priority, keywords, label, regex = (x.strip() for x in line.split("|", 3))
+        compiled = re.compile(rf"(?<![^ ])(?:{regex})(?![^ ])")
+        for keyword in keywords.split("/"):
+            found.setdefault(keyword, []).append(Rule(k, int(priority.rstrip("!")), priority.endswith("!"), keyword, label, compiled))
     return {k: tuple(v) for k, v in found.items()}
 
 
@@ -93,7 +94,7 @@ def places(words: list[str], by_keyword: dict[str, tuple[Rule, ...]]) -> list[Pl
         starts.append(at)
         at += len(w) + 1
     out = []
-    for rule in sorted((r for k in present for r in by_keyword[k]), key=lambda r: r.order):
+    for _, rule in sorted({r.order: r for k in present for r in by_keyword[k]}.items()):
         for m in rule.regex.finditer(line):
             out.append(Place(bisect_left(starts, m.start()), bisect_left(starts, m.end()), rule))
     return out

@@ -47,6 +47,43 @@ def test_license_suppression():
     assert [(d["label"], d["first"], d["last"]) for d in found] == [("apache-2.0", 0, 7), ("mit", 9, 11)]
 
 
+def phrases(tree):
+    """One text for each way through a regex: every branch and character of a class, optional parts with and without."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(arg)]
+        elif op == "IN":
+            new = [c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else map(chr, range(a[0], a[1] + 1)))]
+        elif op == "ANY":
+            new = ["x"]
+        elif op == "SUBPATTERN":
+            new = phrases(arg[3])
+        elif op == "BRANCH":
+            new = [x for t in arg[1] for x in phrases(t)]
+        else:
+            assert op in ("MAX_REPEAT", "MIN_REPEAT")
+            low, _, inner = arg
+            one = phrases(inner)
+            new = [""] * (low == 0) + (one if low <= 1 else [one[0] * low])
+        out = [a + b for a in out for b in new]
+    return out
+
+
+def test_license_gate_hides_nothing():
+    """On every phrase that a rule's regex takes, the rules behind their keywords find what all rules find."""
+    from graphloom.llm.license_rules import RULES
+
+    every = {r.order: r for rs in licenses.rules().values() for r in rs}
+    for k, line in enumerate(x for x in RULES.splitlines() if x.strip()):
+        for phrase in phrases(re._parser.parse(line.split("|", 3)[3].strip())):
+            words = phrase.split()
+            found = {(p.start, p.stop, p.rule.order) for p in licenses.places(words, licenses.rules())}
+            assert any(order == k for _, _, order in found), phrase
+            assert found == {(p.start, p.stop, p.rule.order) for p in licenses.places([*words], {w: tuple(every.values()) for w in words})}, phrase
+
+
 def test_suppression_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):
