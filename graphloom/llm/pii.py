@@ -205,7 +205,7 @@ def _secret(m: re.Match, p: PiiParams, undo: bool) -> str:
     return m[0][: m.start("value") - m.start()] + permute_chars(s, alphabets, p, "secret", undo) + m[0][m.end("value") - m.start() :]
 
 
-#: Tried in this order at each place. An invalid value stays as it is, and nothing inside it is looked at again.
+#: Tried in this order at each place. Where a value is invalid, for GROUPED shorter ends, then the later kinds are tried; the search then goes on inside it.
 KINDS = {
     "email": (r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
     "key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])", _key),
@@ -215,26 +215,46 @@ KINDS = {
     "date": (r"(?<![\w.,/-])(?P<d1>[0-9]{4}|[0-9]{1,2})(?P<ds>[-/.])(?P<d2>[0-9]{1,2})(?P=ds)(?P<d3>[0-9]{4}|[0-9]{1,2})(?![\w/-]|\.[0-9])", _date),
     "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
     "phone": (r"(?<![\w.+-])(?:(?P<cc>\+[0-9]{1,3})(?:[ .-]?\([0-9]{1,4}\)[ .-]?|[ .-])(?:[0-9]{2,4}[ .-]?){1,4}[0-9]{2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|\+[0-9]{8,15})(?![\w-])", _phone),
-    "card": (r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
+    "card": (r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9]))", _card),
 }
+EACH = {k: re.compile(r) for k, (r, _) in KINDS.items()}
+GROUPED = {"iban", "card"}  #: written in groups, so that a match may hold words or numbers that follow the value
 FINDER = re.compile("|".join(f"(?P<{k}>{r})" for k, (r, _) in KINDS.items()))
 HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)").search
 
 
+def _valid(text: str, m: re.Match, p: PiiParams, undo: bool) -> tuple[str, int, str] | None:
+    """(kind, end, replacement) of the first kind that is valid where ``m`` starts; of a grouped kind the longest valid one."""
+    names = list(KINDS)
+    for kind in names[names.index(next(k for k in KINDS if m[k] is not None)) :]:
+        one = EACH[kind].match(text, m.start())
+        if one is None:
+            continue
+        ends = [one.end()]
+        if kind in GROUPED:
+            ends += [k for k in range(one.end() - 1, one.start(), -1) if text[k] in " -" and text[k - 1].isalnum()]
+        for end in ends:
+            part = EACH[kind].fullmatch(text, m.start(), end)
+            if part and (new := KINDS[kind][1](part, p, undo)) is not None:
+                return kind, end, new
+    return None
+
+
 def pseudonymize(text: str, p: PiiParams = PiiParams(), undo: bool = False) -> tuple[str, list[str]]:
     """(text with every valid value replaced, the kinds replaced in order)."""
     if not HINT(text):
         return text, []
     found: list[str] = []
-
-    def swap(m: re.Match) -> str:
-        new = KINDS[kind := next(k for k in KINDS if m[k] is not None)][1](m, p, undo)
-        if new is None:
-            return m[0]
-        found.append(kind)
-        return new
-
-    return FINDER.sub(swap, text), found
+    out, at, place = [], 0, 0
+    while m := FINDER.search(text, place):
+        if got := _valid(text, m, p, undo):
+            kind, stop, new = got
+            found.append(kind)
+            out += [text[at : m.start()], new]
+            at = place = stop
+        else:
+            place = m.start() + 1
+    return "".join([*out, text[at:]]), found
 
 
 def pseudonymize_documents(docs: DataFrame, p: PiiParams = PiiParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -418,3 +418,16 @@ def test_invalid_values_stay():
 def test_pseudonyms_of_odd_rows(spark, odd):
     got = {(r["doc_id"], r["text"]) for r in pii.pseudonymize_documents(odd).collect()}
     assert (1, None) in got and (2, "") in got
+
+
+def test_pii_values_followed_or_preceded_by_others():
+    """A valid value is found though its pattern could take in more, or fails at an earlier place that overlaps it."""
+    for value, text in [
+        ("4111 1111 1111 1111", "4111 1111 1111 1111 12/26"), ("4012888888881881", "4012888888881881 123"), ("4111 1111 1111 1111", "1234 4111 1111 1111 1111 end"),
+        ("4111-1111-1111-1111", "4111-1111-1111-1111-1226-99"), ("BE68 5390 0754 7034", "BE68 5390 0754 7034 BIC"), ("AT61 1904 3002 3457 3201", "AT61 1904 3002 3457 3201 AND"),
+        ("BE68 5390 0754 7034", "AB13 BE68 5390 0754 7034 end"),
+    ]:
+        new, kinds = pii.pseudonymize(text)
+        before, after = text.split(value)
+        assert value not in new and new.startswith(before) and new.endswith(after) and len(new) == len(text), text
+        assert len(kinds) == 1 and pii.pseudonymize(value)[0] == new[len(before) : len(new) - len(after)]
