@@ -255,6 +255,25 @@ def test_decontamination_finds_planted_passages(spark):
     assert decontam.contaminated(frame, bench.limit(0), p).count() == 0
 
 
+def test_decontamination_finds_a_frequent_paraphrase(spark):
+    """Words kept by a paraphrase in a third of the documents weigh nothing, at production parameters."""
+    rng = np.random.default_rng(6)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((20, 33, 64, 100))]
+    docs, truth = [], set()
+    for d in range(300):
+        w = [f"b{x}" for x in rng.integers(0, 5000, 120)]
+        if d % 3 == 0:
+            for k, text in items:
+                w += [x if j % 6 else "other" for j, x in enumerate(text.split())] + [f"b{x}" for x in rng.integers(0, 5000, 20)]
+                truth.add((d, k))
+        docs.append((d, " ".join(w)))
+    for k, text in items:  # the words that the paraphrase replaces are rare, and keep their weight
+        docs.append((1000 + k, " ".join(text.split()[::6])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == truth
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(50):
