@@ -66,17 +66,25 @@ def _plan(targets: DataFrame) -> DataFrame:
 def _odds_scale(sizes: DataFrame, plan: DataFrame, p: MixParams) -> DataFrame:
     """kappa for each source: inclusion min(1, kappa * size) makes the expected sample ``rest`` words.
 
-    Solved on size classes: with the classes above b certain, kappa = (rest - their words) / (squares below);
-    the largest b with kappa * (largest size in b) <= 1 is right.
+    Solved on size classes: with the classes above one certain, kappa = (rest - their words) / (squares below);
+    the largest class with kappa * (its largest size) <= 1 is right. The lowest class beyond that holds the border of
+    certainty, so it is solved once more size by size, which makes kappa exact.
     """
-    b = F.floor(F.log2("size") * p.bins)
-    classes = sizes.filter("size > 0").groupBy("idx", b.alias("b")).agg(F.sum("size").alias("s"), F.sum(F.col("size").cast("double") * F.col("size")).alias("s2"), F.max("size").alias("top"))
-    down, up = Window.partitionBy("idx").orderBy(F.col("b").desc()), Window.partitionBy("idx").orderBy("b")
+    rows = sizes.filter("size > 0").select("idx", "size", F.floor(F.log2("size") * p.bins).alias("b"))
+    border = _classes(rows, plan, "b").filter(F.col("kappa") * F.col("top") > 1).groupBy("idx").agg(F.min("b").alias("border"))
+    fine = rows.join(F.broadcast(border), "idx", "left").withColumn("one", F.when(F.col("b") == F.col("border"), F.col("size")))
+    k = _classes(fine, plan, "b", "one")
+    fits = (F.col("kappa") >= 0) & (F.col("kappa") * F.col("top") <= 1 + 1e-9)
+    return k.groupBy("idx").agg(F.coalesce(F.max_by(F.when(fits, F.col("kappa")), F.when(fits, F.col("top"))), F.lit(0.0)).alias("kappa"))
+
+
+def _classes(rows: DataFrame, plan: DataFrame, *by: str) -> DataFrame:
+    """For each class its largest size, and kappa if the classes above it are certain."""
+    classes = rows.groupBy("idx", *by).agg(F.sum("size").alias("s"), F.sum(F.col("size").cast("double") * F.col("size")).alias("s2"), F.max("size").alias("top"))
+    down, up = Window.partitionBy("idx").orderBy(F.col("top").desc()), Window.partitionBy("idx").orderBy("top")
     above = F.coalesce(F.sum("s").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     below = F.sum("s2").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    k = classes.withColumns({"above": above, "below": below}).join(plan.select("idx", "rest"), "idx").withColumn("kappa", (F.col("rest") - F.col("above")) / F.col("below"))
-    fits = (F.col("kappa") >= 0) & (F.col("kappa") * F.col("top") <= 1)
-    return k.groupBy("idx").agg(F.coalesce(F.max_by(F.when(fits, F.col("kappa")), F.when(fits, F.col("b"))), F.lit(0.0)).alias("kappa"))
+    return classes.withColumns({"above": above, "below": below}).join(plan.select("idx", "rest"), "idx").withColumn("kappa", (F.col("rest") - F.col("above")) / F.col("below"))
 
 
 def pareto_key(doc_id: Column, size: Column, kappa: Column, seed: int) -> Column:

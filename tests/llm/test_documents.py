@@ -196,6 +196,15 @@ def test_mixing(spark, sf, odd):
     assert mixing.mix_documents(odd).columns == odd.columns
 
 
+def test_mixing_solves_the_odds_of_nearly_equal_sizes(spark):
+    """Nearly all words of a source whose documents hardly differ in size: the scale solves sum(min(1, kappa s) s) = rest."""
+    size = np.random.default_rng(8).integers(100, 121, 2000)
+    rest = int(0.99 * size.sum())
+    sizes = spark.createDataFrame([(0, int(s)) for s in size], "idx int, size long")
+    kappa = mixing._odds_scale(sizes, spark.createDataFrame([(0, rest)], "idx int, rest long"), mixing.MixParams()).first()["kappa"]
+    assert abs((np.minimum(1, kappa * size) * size).sum() - rest) < 1e-3 * rest
+
+
 # ---- quality
 
 
