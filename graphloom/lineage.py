@@ -44,3 +44,25 @@ def parquet_cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Workspace:
+    """A folder of tables in shared storage for one operator, which deletes what is no longer needed."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self._at = spark, scratch(spark, name), {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as a Parquet table and return it read from there, without its lineage."""
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._at[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that :meth:`cut` returned and no later step reads."""
+        for df in tables:
+            if found := self._at.pop(id(df), None):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
