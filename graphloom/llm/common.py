@@ -61,14 +61,22 @@ def slices(batch: pa.RecordBatch, text_index: int, limit: int = 8 << 20) -> Iter
     yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], text: str | None = None) -> DataFrame:
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, or the like, that none of ``columns`` has; Spark doesn't tell names apart by case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], text: str | None = None, limit: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once for each task and returns what maps a batch."""
     index = df.columns.index(text) if text else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for b in batches:
-            for part in slices(b, index) if index is not None else [b]:
+            for part in slices(b, index, limit) if index is not None else [b]:
                 yield from each(part)
 
     return df.mapInArrow(run, schema)

@@ -1,20 +1,22 @@
 """N-gram Jaccard join: all links of 80 percent or more between the shingle sets of documents, and their components.
 
 Exact, in three steps. (1) Equal sets become one class. (2) Prefix filtering: two sets that link share one of their
-first n - ceil(0.8 n) + 1 shingles in any common order. A first pass, in hash order, finds the few sets that share a
-prefix shingle with a set of fitting size; a second pass over only these orders shingles that no other set has first,
-so that unrelated sets with a passage in common drop out. Sets that share a prefix shingle are chained by size, which
-costs one edge a row however long the list is, and the chains' components are the clusters. (3) T-occurrence search
-inside each cluster by DivideSkip (Li, Lu, Lu 2008): merge the short inverted lists with a heap, probe the long ones
-by bisection, keep sets that reach the required overlap. Sets already joined by other links need no search, so a dense
-group of near copies costs about as much as its size. A large cluster is searched in blocks: each by itself first,
-together with a few pivots of the cluster, and then only sets outside its largest component visit the other blocks.
+first n - ceil(0.8 n) + 1 shingles in any common order. Shingles are counted over all classes and ordered by bands of
+their frequency, so that those of no other set come first and those of widespread passages last; unrelated sets with a
+passage in common thus drop out. Sets that share a prefix shingle form a star for each band of sizes, and neighbouring
+bands join at their centres, which costs about one edge a row however often a shingle occurs; the components of these
+edges are the clusters. (3) T-occurrence search inside each cluster by DivideSkip (Li, Lu, Lu 2008): merge the short
+inverted lists with a heap, probe the long ones by bisection, keep sets that reach the required overlap. The most
+typical sets ask first; what they connect needs no search of its own, so a dense group of near copies costs about as
+much as its size. A large cluster is searched in blocks: each by itself first, together with a few pivots of the
+cluster, and then only sets outside its largest component visit the other blocks.
+
+Shingle sets are made from the texts wherever they are needed; stored, they would take several times the input.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,50 +26,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.lineage import cut, parquet_cut
-from graphloom.llm.common import lowered, map_batches, read, slices, words_of
+from graphloom.lineage import Workspace
+from graphloom.llm.common import fresh, map_batches, read, slices
+from graphloom.llm.shingles import shingle_sets
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     width: int = 5  #: words of a shingle
     percent: int = 80  #: 100 * intersection >= percent * union
-    id_bits: int = 26  #: bitmap of candidate ids: 8 MB; a full one only lets more sets through
-    shingle_bits: int = 27  #: bitmap of shared shingles: 16 MB; a full one only orders worse
+    bits: int = 30  #: bitmaps have eight bits for each member, but 2**bits (128 MB) at most; fuller ones order worse and lose nothing
     block: int = 1500  #: sets of a cluster that one task searches; larger clusters are searched in blocks
+    block_shingles: int = 4_000_000  #: shingles of those sets, about
     pivots: int = 4  #: of each large cluster
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered within bounds."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _stir(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingle_set(words: list[str], hashes: WordHashes, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; fewer words than the width are one shingle, no words none."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(width, n)
-    h = np.full(n - k + 1, np.uint64(k))
-    for j in range(k):
-        h = _stir(h + w[j : j + len(h)])
-    return np.unique(h)
+STEP = 2 << 20  #: bytes of text whose shingles are made at once
+LOW = 29  #: bits of a shingle that are kept behind those that name its bucket
+FREQUENCIES = (2, 4, 16, 64, 256, 1024)  #: a shingle's band is the number of these that its count reaches
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -161,91 +141,105 @@ def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: J
             union.join(first.setdefault(m, k), k)
     sizes = [len(x) for x in sets]
     links: list[tuple[int, int]] = []
-
-    def link(a: int, b: int) -> None:
-        if union.join(a, b):
-            links.append((int(order[a]), int(order[b])))
-
     if n == 0:
         return links
-    bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-    names, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # In a group of many sets the most typical ones settle nearly all of it: each is compared with every set.
-    if n > 24:
-        typical = np.add.reduceat(df[number], bounds[:-1]) / np.array(sizes)
-        done = np.zeros(n, bool)
-        for _ in range(6):
-            free = np.flatnonzero(~done)
-            if not len(free):
-                break
-            pivot = int(free[np.argmax(typical[free])])
-            mask = np.zeros(len(names), np.int32)
-            mask[number[bounds[pivot] : bounds[pivot + 1]]] = 1
-            o = np.add.reduceat(mask[number], bounds[:-1])
-            near = np.flatnonzero(100 * o >= p.percent * (np.array(sizes) + sizes[pivot] - o))
-            for k in near.tolist():
-                link(pivot, k)
-            done[near] = True
-            done[pivot] = True
-    roots = [union.find(k) for k in range(n)]
-    if len(set(roots)) == 1:
-        return links
-    home = Counter(roots).most_common(1)[0][0]
-    whole = bool(queries.all())  # then of two sets in different components, the one outside the largest asks
-    ask = [k for k in range(n) if asked[k] and (roots[k] != home or not whole)]
-    asking = set(ask)
     # Inverted lists, one after the other: the sets that hold shingle j are holders[start[j]:start[j + 1]], ascending.
+    bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    _, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     holders = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(number, kind="stable")]
     start = np.r_[0, np.cumsum(df)]
-    for k in ask:
+
+    def ask(k: int, skip: set[int]) -> None:
+        """Links set k with all partners that it isn't connected with yet, but for those in ``skip``."""
         mine = number[bounds[k] : bounds[k + 1]]
         lists = [holders[start[j] : start[j + 1]] for j in mine[df[mine] > 1].tolist()]
         own = union.find(k)
 
-        def wanted(c: np.ndarray, k: int = k, own: int = own) -> np.ndarray:  # partners that ask themselves are met from one side
-            return np.array([x != k and not (x in asking and x > k) and union.find(x) != own for x in c.tolist()], dtype=bool)
+        def wanted(c: np.ndarray) -> np.ndarray:
+            return np.array([x != k and x not in skip and union.find(x) != own for x in c.tolist()], dtype=bool)
 
         least = required(sizes[k], -(-p.percent * sizes[k] // 100), p.percent)
         for c in divide_skip(lists, min(least, sizes[k]), n, wanted):
-            if union.find(c) != union.find(k) and linked(sets[k], sets[c], p.percent):
-                link(k, c)
+            if union.find(c) != union.find(k) and linked(sets[k], sets[c], p.percent) and union.join(k, c):
+                links.append((int(order[k]), int(order[c])))
+
+    # In a group of many sets the most typical ones, which ask first, connect nearly all of it.
+    whole = bool(queries.all())
+    if whole and n > 24:
+        typical = np.add.reduceat(df[number], bounds[:-1]) / np.array(sizes)
+        for _ in range(6):
+            roots = np.array([union.find(k) for k in range(n)])
+            home = Counter(roots.tolist()).most_common(1)[0][0]
+            free = np.flatnonzero(roots != home) if links else np.arange(n)
+            if not len(free):
+                break
+            k = int(free[np.argmax(typical[free])])
+            typical[k] = -1
+            ask(k, set())
+    roots = [union.find(k) for k in range(n)]
+    if len(set(roots)) == 1:
+        return links
+    # Of two sets in different components, one at least lies outside the largest: those ask, each pair from one side.
+    home = Counter(roots).most_common(1)[0][0]
+    asking = [k for k in range(n) if asked[k] and (roots[k] != home or not whole)]
+    later = set(asking)
+    for k in asking:
+        later.discard(k)
+        ask(k, later)
     return links
 
 
 def search_groups(groups: DataFrame, p: JaccardParams) -> DataFrame:
-    """(cluster, block, id, label, ask, set) rows to connecting links (a, b).
+    """(cluster, block, id, label, ask, shingles) rows to connecting links (a, b).
 
-    Groups are dealt by cluster and block: rows that come from a join on the cluster would otherwise stay where they are,
-    all blocks of a cluster in one task. A number of partitions keeps them from being merged by bytes; time goes by pairs.
+    Groups are dealt by cluster and block, and each task reads its groups one after the other. A number of partitions
+    keeps them from being merged by bytes; time goes by pairs.
     """
+    cols = ["cluster", "block", "id", "label", "ask", "shingles"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x).view(np.uint64) for x in pdf["shingles"]]
-        ids = pdf["id"].to_numpy()
-        got = search(sets, pdf["ask"].to_numpy(dtype=bool), pdf["label"].to_numpy(dtype=np.int64), p)
-        return pd.DataFrame({"a": [ids[x] for x, _ in got], "b": [ids[y] for _, y in got]}, dtype="int64")
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        ids, labels, asks, sets = zip(*held)
+        got = search([np.frombuffer(x, np.uint64) for x in sets], np.array(asks, dtype=bool), np.array(labels, dtype=np.int64), p)
+        return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in got], pa.int64()), pa.array([ids[y] for _, y in got], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            for part in slices(b, 5, 16 << 20):
+                c = [x.to_pylist() for x in part.columns]
+                for now, row in zip(zip(c[0], c[1]), zip(*c[2:])):
+                    if now != key and held:
+                        yield settle(held)
+                        held = []
+                    key = now
+                    held.append(row)
+        if held:
+            yield settle(held)
 
     n = 2 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return groups.repartition(n, "cluster", "block").groupBy("cluster", "block").applyInPandas(run, "a long, b long")
+    return groups.select(*cols).repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, "a long, b long")
 
 
 # ---- components of a graph
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(id, component) of every id in (a, b), by large-star and small-star steps (Kiveris et al. 2014).
 
-    Every step is an aggregation and a join on one column, cut in the shared folder; a hub's rows can be split by the join.
+    Every step is an aggregation and a join on one column, written in the shared folder; a hub's rows can be split by
+    the join. Tables of earlier steps are deleted.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = ws.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = ws.cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        e = cut(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        new = ws.cut(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        ws.drop(e, large)
+        e = new
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now["n"], now["h"]) == state:
             break
@@ -253,14 +247,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-# ---- the join
+# ---- shingle sets of all documents, or of some
+
+
+def _bits(members: int, p: JaccardParams) -> int:
+    return min(p.bits, max(16, (8 * members).bit_length()))
 
 
 def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
-    """Bytes of a bitmap of 2**bits with the given positions set; its size is fixed."""
+    """Bytes of a bitmap of 2**bits with the given positions set."""
     x = F.col("pos") + 1
-    rows = positions.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("b")).collect()
-    out = np.zeros(1 << max(0, bits - 3), np.uint8)
+    rows = positions.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("b")).toLocalIterator()
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
         part = np.frombuffer(r["b"], np.uint8)
         start = (r["k"] - 1) * 4096
@@ -272,135 +270,194 @@ def _has(bitmap: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return (bitmap[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1 > 0
 
 
-def _id_position(doc_id: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - bits)
+class SomeSets:
+    """Shingle sets of the documents whose ids are in ``ids``, and of a few others that share their place in a bitmap."""
+
+    def __init__(self, docs: DataFrame, ids: DataFrame, p: JaccardParams) -> None:
+        """``ids`` has the column id."""
+        self.p, bits = p, _bits(ids.count(), p)
+        place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+        self.wanted: Broadcast = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(place("id").alias("pos")), bits))
+        self.rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), place("doc_id").alias("pos"), "text")
+
+    def done(self) -> None:
+        self.wanted.destroy()
 
+    def map(self, schema: str, make) -> DataFrame:
+        """``make()`` gives a function from (ids, set bounds, shingles) and from None, at the end of a task, to record batches."""
+        wanted, width = self.wanted, self.p.width
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)), pa.array(flat))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = make()
+            for whole in batches:
+                keep = whole.filter(pa.array(_has(wanted.value, whole.column(1).to_numpy(zero_copy_only=False))))
+                for b in slices(keep, 2, STEP):
+                    flat, at = shingle_sets(b.column(2), width)
+                    yield from each((b.column(0), at, flat))
+            yield from each(None)
+
+        return self.rows.mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): set size, a 128-bit name of the set, and its prefix in hash order."""
+    """(doc_id, n, f1, f2): set size and a 128-bit name of the set."""
 
     def make():
-        hashes = WordHashes()
-
         def each(b: pa.RecordBatch):
-            ns, hi, lo, prefixes = [], [], [], []
-            for t in lowered(b.column(1)):
-                s = shingle_set(words_of(t), hashes, p.width)
-                name = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                ns.append(len(s))
-                hi.append(int(name[0]))
-                lo.append(int(name[1]))
-                prefixes.append(s[: prefix_length(len(s), p.percent)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(hi), pa.array(lo), _lists(prefixes)], ["doc_id", "n", "f1", "f2", "prefix"])
+            flat, at = shingle_sets(b.column(1), p.width)
+            ends = at.tolist()
+            name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(flat[x:y]) for x, y in zip(ends, ends[1:])), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (np.diff(at), name[:, 0], name[:, 1]))], ["doc_id", "n", "f1", "f2"])
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, n long, f1 long, f2 long, prefix array<long>", make, "text")
+    return map_batches(docs.select("doc_id", "text"), "doc_id long, n long, f1 long, f2 long", make, "text", STEP)
 
 
-def chained(postings: DataFrame, p: JaccardParams) -> DataFrame:
-    """(a, b) for neighbours by size among the sets (h, id, n) that share h, where their sizes allow a link.
+def whole_sets(some: SomeSets) -> DataFrame:
+    """(id, shingles): each set's sorted hashes as bytes."""
 
-    Between two sets that can link all sizes allow links, so the chain connects them.
-    """
-    w = Window.partitionBy("h").orderBy("n", "id")
-    rows = postings.withColumns({"a": F.lag("id").over(w), "m": F.lag("n").over(w)})
-    return rows.filter((F.col("m") * 100 >= F.col("n") * p.percent) & (F.col("a") != F.col("id"))).select("a", F.col("id").alias("b"))
+    def make():
+        def each(found):
+            if found:
+                ids, at, flat = found
+                data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([ids, data], ["id", "shingles"])
 
+        return each
 
-def _sets_of(docs: DataFrame, ids: DataFrame, p: JaccardParams):
-    """(rows, each): the documents to map, and a generator over (ids, sets) of those in ``ids`` and of a few others that
-    share their place in the bitmap. Sets are made again from the texts wherever they are needed; stored, they would
-    take several times the input."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(_id_position(F.col("id"), p.id_bits).alias("pos")), p.id_bits))
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), _id_position(F.col("doc_id"), p.id_bits).alias("pos"), "text")
+    return some.map("id long, shingles binary", make)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-        hashes, bitmap = WordHashes(), wanted.value
-        for whole in batches:
-            for b in slices(whole, 2):
-                keep = b.filter(pa.array(_has(bitmap, b.column(1).to_numpy(zero_copy_only=False))))
-                if keep.num_rows:
-                    yield keep.column(0), [shingle_set(words_of(t), hashes, p.width) for t in lowered(keep.column(2))]
 
-    return rows, each
+# ---- how often shingles occur
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, p: JaccardParams) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``, and of a few others."""
-    rows, each = _sets_of(docs, ids, p)
+def pack(values: np.ndarray) -> tuple[bytes, bool]:
+    """Ascending numbers below 2**32 as 16-bit steps, where 65535 carries on, or plainly where that would be longer."""
+    steps = np.diff(values, prepend=0)
+    carries = steps // 65535
+    if carries.sum() > len(values):
+        return values.astype(np.uint32).tobytes(), True
+    ends = np.cumsum(carries + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 65535, np.uint16)
+    out[ends - 1] = steps % 65535
+    return out.tobytes(), False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owners, sets in each(batches):
-            yield pa.RecordBatch.from_arrays([owners, _lists(sets)], ["id", "shingles"])
 
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+def unpack(data: bytes, plain: bool) -> np.ndarray:
+    if plain:
+        return np.frombuffer(data, np.uint32).astype(np.int64)
+    steps = np.frombuffer(data, np.uint16)
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
-def shared_shingles(docs: DataFrame, ids: DataFrame, total: int, p: JaccardParams, chunk: int = 2_000_000, bucket: int = 8_000_000) -> np.ndarray:
-    """A bitmap of the shingles that occur in two or more of the sets.
+def shared_shingles(some: SomeSets, total: int, chunk: int = 4_000_000, bucket: int = 4_000_000) -> tuple[DataFrame, int]:
+    """((pos, band) of the shingles that occur in two or more of the sets, bits of pos).
 
-    Tasks deal their shingles by leading bits, as packed 32-bit remainders, each value twice at most for a chunk; so a
-    frequent shingle adds two numbers a chunk, and the number of buckets grows with the total. What looks shared only
-    because its kept bits are those of another shingle is ordered later, which costs a little pruning and loses nothing.
+    Tasks deal their shingles by leading bits, each value once for a chunk with its count there (255 at most, which only
+    concerns the order); so a frequent shingle adds one number a chunk, and the number of buckets grows with the total.
+    What looks shared only because its kept bits are those of another shingle comes later in the order, which costs a
+    little pruning and loses nothing.
     """
-    rows, each = _sets_of(docs, ids, p)
     k = max(6, (max(1, total) // bucket).bit_length())
-    bits = p.shingle_bits
+    schema = "bucket long, low binary, plain boolean, times binary"
 
     def deal(held: list[np.ndarray]) -> pa.RecordBatch:
-        v, c = np.unique(np.concatenate(held) >> np.uint64(32 - k), return_counts=True)
-        v = np.repeat(v, np.minimum(c, 2))
-        at = np.searchsorted(v >> np.uint64(32), np.arange((1 << k) + 1, dtype=np.uint64))
-        low = v.astype(np.uint32)
+        v, c = np.unique(np.concatenate(held) >> np.uint64(64 - LOW - k), return_counts=True)
+        at = np.searchsorted(v >> np.uint64(LOW), np.arange((1 << k) + 1, dtype=np.uint64))
+        low, times = (v & np.uint64((1 << LOW) - 1)).astype(np.int64), np.minimum(c, 255).astype(np.uint8)
         used = np.flatnonzero(at[1:] > at[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(used), pa.array([low[at[x] : at[x + 1]].tobytes() for x in used], pa.binary())], ["bucket", "low"])
+        packed = [pack(low[at[x] : at[x + 1]]) for x in used]
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed]), pa.array([times[at[x] : at[x + 1]].tobytes() for x in used], pa.binary())], ["bucket", "low", "plain", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for _, sets in each(batches):
-            held += sets
-            n += sum(map(len, sets))
-            if n >= chunk:
+    def make():
+        held: list[np.ndarray] = []
+
+        def each(found):
+            if found:
+                held.append(found[2])
+            if held and (found is None or sum(map(len, held)) >= chunk):
                 yield deal(held)
-                held, n = [], 0
-        if held:
-            yield deal(held)
+                held.clear()
 
-    def twice(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["low"]]))
-        both = v[1:][v[1:] == v[:-1]].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32)
-        return pd.DataFrame({"pos": np.unique(both >> (k + 32 - bits))})
+        return each
 
-    dealt = rows.mapInArrow(run, "bucket long, low binary")
-    return _bitmap(dealt.groupBy("bucket").applyInPandas(twice, "pos long"), bits)
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.concatenate([unpack(x, y) for x, y in zip(pdf["low"], pdf["plain"])])
+        c = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["times"]]).astype(np.int64)
+        order = np.argsort(v, kind="stable")
+        v = v[order]
+        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        band = np.searchsorted(FREQUENCIES, np.add.reduceat(c[order], first), side="right")
+        return pd.DataFrame({"pos": v[first][band > 0] | (int(pdf["bucket"].iloc[0]) << LOW), "band": band[band > 0]})
 
+    return some.map(schema, make).groupBy("bucket").applyInPandas(count, "pos long, band long"), k + LOW
 
-def rare_first(docs: DataFrame, ids: DataFrame, total: int, p: JaccardParams) -> DataFrame:
-    """(h, id, n): the shared shingles in each set's prefix, where shingles that no other set has come first."""
-    shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, ids, total, p))
-    rows, each = _sets_of(docs, ids, p)
-    down = 64 - p.shingle_bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owners, sets in each(batches):
-            ids, ns, hs = [], [], []
-            for k, a in zip(owners.to_pylist(), sets):
-                common = a[_has(shared.value, (a >> np.uint64(down)).astype(np.int64))]
-                take = common[: max(0, prefix_length(len(a), p.percent) - (len(a) - len(common)))]
-                if len(take):
-                    hs.append(take.view(np.int64))
-                    ids.append(np.full(len(take), k))
-                    ns.append(np.full(len(take), len(a)))
+class Bands:
+    """The band of each shingle: one bitmap for each band, of the shingles in it or above."""
+
+    def __init__(self, shared: DataFrame, bits: int, p: JaccardParams) -> None:
+        counts = {r["band"]: r["count"] for r in shared.groupBy("band").count().collect()}
+        self.maps = []
+        for band in range(1, max(counts, default=0) + 1):
+            own = min(bits, _bits(sum(n for b, n in counts.items() if b >= band), p))
+            pos = shared.filter(F.col("band") >= band).select(F.shiftright("pos", bits - own).alias("pos"))
+            self.maps.append((own, _bitmap(pos, own)))
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(shingles), np.int8)
+        among = np.arange(len(shingles))
+        for bits, bitmap in self.maps:
+            among = among[_has(bitmap, (shingles[among] >> np.uint64(64 - bits)).astype(np.int64))]
+            out[among] += 1
+        return out
+
+
+def rare_first(some: SomeSets, bands: Broadcast) -> DataFrame:
+    """(h, id, n): the shared shingles in each set's prefix, where shingles come by band and then by hash."""
+    percent = some.p.percent
+
+    def make():
+        def each(found):
+            if not found:
+                return
+            ids, at, flat = found
+            band = bands.value(flat)
+            common = np.r_[0, np.cumsum(band > 0)]
+            hs, owners, ns = [], [], []
+            for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                take = prefix_length(b - a, percent) - (b - a - int(common[b] - common[a]))
+                if take > 0:
+                    own = np.flatnonzero(band[a:b])
+                    hs.append(flat[a:b][own[np.argsort(band[a:b][own], kind="stable")[:take]]].view(np.int64))
+                    owners.append(np.full(len(hs[-1]), ids[k].as_py()))
+                    ns.append(np.full(len(hs[-1]), b - a))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ns)], ["h", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, owners, ns)], ["h", "id", "n"])
 
-    return rows.mapInArrow(run, "h long, id long, n long")
+        return each
+
+    return some.map("h long, id long, n long", make)
+
+
+def starred(postings: DataFrame, p: JaccardParams, ws: Workspace) -> DataFrame:
+    """(a, b): edges that connect all sets (h, id, n) that share h and may link by their sizes.
+
+    Sizes fall in bands a little wider than the ratio that links, so sets that link lie in one band or in neighbouring
+    ones. In each band of h all sets meet the one with the least id, which takes an aggregate and a join that can be split.
+    """
+    rows = postings.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / p.percent * 1.0001))))
+    heads = ws.cut(rows.groupBy("h", "size").agg(F.min("id").alias("b"), F.min("n").alias("low"), F.max("n").alias("high")))
+    star = rows.join(heads, ["h", "size"]).select(F.col("id").alias("a"), "b")
+    above = heads.select("h", (F.col("size") - 1).alias("size"), F.col("b").alias("a"), F.col("low").alias("next"))
+    chain = heads.join(above, ["h", "size"]).filter(F.col("high") * 100 >= F.col("next") * p.percent).select("a", "b")
+    edges = ws.cut(star.unionByName(chain).filter("a <> b").distinct())
+    ws.drop(heads)
+    return edges
+
+
+# ---- the join
 
 
 def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
@@ -408,71 +465,97 @@ def link_components(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
 
     Null and empty texts have empty sets and link with nothing. A null id takes part in no link and has a null component.
     Rows that share an id are one document: what any of them links with, all do. An empty table gives an empty result.
+    Columns other than doc_id and text don't matter.
     """
-    prints = parquet_cut(fingerprints(docs, p), "shingles")
+    docs = docs.select("doc_id", "text")
+    ws = Workspace(docs.sparkSession, "jaccard")
+    prints = ws.cut(fingerprints(docs, p))
     known = prints.filter("n > 0 AND doc_id IS NOT NULL")
     own = ["f1", "f2", "n"]
-    classes = cut(known.groupBy(*own).agg(F.min("doc_id").alias("rep")))
-    reps = _representatives(known, classes)
-    first = chained(reps.select(F.explode("prefix").alias("h"), F.col("rep").alias("id"), "n"), p)
-    ids = cut(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    clusters = cut(components(chained(rare_first(docs, ids, total, p), p).distinct()))
-    links = _search(parquet_cut(candidate_sets(docs, clusters.select("id"), p), "sets"), clusters, p)
+    classes = ws.cut(known.groupBy(*own).agg(F.min("doc_id").alias("rep")))
+    reps = classes.select(F.col("rep").alias("id"), "n")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    some = SomeSets(docs, reps, p)
+    shared, bits = shared_shingles(some, total)
+    shared = ws.cut(shared)
+    bands = docs.sparkSession.sparkContext.broadcast(Bands(shared, bits, p))
+    postings = ws.cut(rare_first(some, bands))
+    bands.destroy()
+    some.done()
+    ws.drop(shared)
+    edges = starred(postings, p, ws)
+    ws.drop(postings)
+    clusters = components(edges, ws)
+    links = _search(docs, clusters, reps, p, ws)
     several = known.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")  # ids that may stand for several texts
     same = known.select("doc_id", *own).join(several, "doc_id", "left_semi").join(classes, own).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = cut(components(links.unionByName(same)))
-    named = prints.drop("prefix").join(classes, own, "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    found = components(links.unionByName(same), ws)
+    named = prints.join(classes, own, "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     out = named.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
-def _representatives(known: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, n, prefix) once for each class of equal sets; the join is on the id, so copies' prefixes don't pile up on one key."""
-    r = classes.select("rep", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    same = (F.col("doc_id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
-    return known.join(r, same).select("rep", "n", "prefix")
-
-
-def _search(sets: DataFrame, clusters: DataFrame, p: JaccardParams) -> DataFrame:
-    """Connecting links inside all clusters."""
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    tagged = sets.join(clusters, "id").join(sizes, "component").withColumnRenamed("component", "cluster")
-    small = tagged.filter(F.col("size") <= p.block).select("cluster", F.lit(0).alias("block"), "id", F.lit(-1).cast("long").alias("label"), F.lit(True).alias("ask"), "shingles")
-    links = search_groups(small, p)
-    big = cut(sizes.filter(F.col("size") > p.block))
-    if not big.limit(1).count():
-        return cut(links)
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = tagged.filter(F.col("size") > p.block).withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int")).withColumn("block", block)
-    members = parquet_cut(members.select("cluster", "blocks", "block", "id", "shingles"), "large")
-    cols = ["cluster", "block", "id", "label", "ask", "shingles"]
-    away = lambda df: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block").drop("block").withColumnRenamed("other", "block")
+def _search(docs: DataFrame, clusters: DataFrame, reps: DataFrame, p: JaccardParams, ws: Workspace) -> DataFrame:
+    """Connecting links (a, b) inside all clusters (id, component); ``reps`` has (id, n)."""
+    weight = clusters.join(reps, "id").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("weight") / p.block_shingles)).cast("int")
+    placed = clusters.join(weight.select("component", blocks.alias("blocks")), "component").withColumnRenamed("component", "cluster")
+    placed = ws.cut(placed.select("id", "cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    if not placed.limit(1).count():
+        return placed.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    big = placed.filter("blocks > 1")
     # First every block by itself, with the cluster's pivots as guests that tie the blocks together.
-    order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"))
-    pivots = members.select("cluster", "id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= p.pivots).select("id")
-    guests = away(members.join(pivots, "id", "left_semi"))
-    alone = members.unionByName(guests).withColumns({"label": F.lit(-1).cast("long"), "ask": F.lit(True)}).select(*cols)
-    star = cut(search_groups(alone, p))
+    slot = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(p.pivots))
+    pivots = big.groupBy("cluster", slot.alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(3))).alias("id")).select("id", F.lit(True).alias("pivot"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    at = placed.join(pivots, "id", "left").withColumn("block", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("block"))))
+    alone = at.select("id", "cluster", "block", F.lit(-1).cast("long").alias("label"), F.lit(True).alias("ask"))
+    star = _searched(docs, alone, p, ws)
+    if not big.limit(1).count():
+        return star
     # Then what isn't in a cluster's largest component visits the other blocks, in parties of a block's size.
-    marks = cut(components(star))
-    labelled = members.join(marks.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
-    count = labelled.groupBy("cluster", "label").count().groupBy("cluster")
-    known = F.when(F.col("label") >= 0, F.struct("count", "label"))
-    homes = cut(count.agg(F.max_by(F.when(F.col("label") >= 0, F.col("label")), known).alias("home"), F.sum("count").alias("all"), F.max(F.when(F.col("label") >= 0, F.col("count"))).alias("at_home")))
-    homes = homes.select("cluster", "home", F.greatest(F.lit(1), F.ceil((F.col("all") - F.coalesce("at_home", F.lit(0))) / p.block)).cast("int").alias("parties"))
-    placed = labelled.join(homes, "cluster")
-    stray = placed.filter(F.col("home").isNull() | (F.col("label") != F.col("home"))).withColumn("ask", F.lit(True)).withColumn("party", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int"))
-    resident = placed.withColumn("ask", F.lit(False)).withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1)))
-    visits = away(stray).unionByName(resident).withColumn("block", F.col("party") * F.col("blocks") + F.col("block")).select(*cols)
-    return cut(links.unionByName(star).unionByName(search_groups(visits, p)))
+    marks = components(star.join(big.select(F.col("id").alias("a")), "a", "left_semi"), ws).withColumnRenamed("component", "label")
+    labelled = ws.cut(big.join(marks, "id", "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))))
+    count = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster")
+    known = F.col("label") >= 0
+    homes = count.agg(F.max_by(F.when(known, F.col("label")), F.when(known, F.struct("n", "label"))).alias("home"), F.sum("n").alias("all"), F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0)).alias("at_home"))
+    homes = homes.select("cluster", "home", F.ceil((F.col("all") - F.col("at_home")) / p.block).cast("int").alias("parties")).filter("parties > 0")
+    homed = labelled.join(homes, "cluster")
+    stray = homed.filter(F.col("home").isNull() | (F.col("label") != F.col("home"))).withColumns({"ask": F.lit(True), "party": F.pmod(F.xxhash64("id", F.lit(1)), F.col("parties")).cast("int")})
+    stray = stray.withColumn("to", F.explode(every)).filter("to <> block").withColumn("block", F.col("to"))
+    resident = homed.withColumns({"ask": F.lit(False), "party": F.explode(F.sequence(F.lit(0), F.col("parties") - 1))})
+    cols = ["id", "cluster", (F.col("party") * F.col("blocks") + F.col("block")).alias("block"), "label", "ask"]
+    return star.unionByName(_searched(docs, stray.select(*cols).unionByName(resident.select(*cols)), p, ws))
+
+
+def _searched(docs: DataFrame, places: DataFrame, p: JaccardParams, ws: Workspace) -> DataFrame:
+    """Links found in the groups of ``places`` (id, cluster, block, label, ask)."""
+    places = ws.cut(places)
+    some = SomeSets(docs, places.select("id").distinct(), p)
+    links = ws.cut(search_groups(whole_sets(some).join(places, "id"), p))
+    some.done()
+    ws.drop(places)
+    return links
 
 
 def drop_near_copies(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; documents without an id stay."""
-    gone = link_components(docs, p).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component stays, the one with the smallest id, with the columns of ``docs``.
+
+    Documents without an id stay, as do empty texts, which link with nothing. Of rows that share an id, exact repeats of
+    the text go and different texts stay. An empty table gives an empty result.
+    """
+    found = link_components(docs, p)
+    ws = Workspace(docs.sparkSession, "copies")
+    gone = ws.cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = ws.cut(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return kept
+    row = fresh("row", docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(f"{row}.*"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`link_components` of all ``documents``; its docstring says what becomes of odd rows."""
     return link_components(read(spark, sf_dir, "documents", "doc_id", "text"))
