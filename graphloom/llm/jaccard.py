@@ -81,49 +81,43 @@ class Union:
         return True
 
 
-def divide_skip(lists: list[np.ndarray], need: int, stop: int, wanted=None, heap: int = 4096) -> list[int]:
-    """Numbers below ``stop`` that occur in at least ``need`` of the sorted lists, ascending.
+def divide_skip(holders: np.ndarray, start: np.ndarray, of: np.ndarray, need: int, wanted=None, heap: int = 256, long: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers that occur in at least ``need`` of the lists ``of``, in how many), ascending; list j is holders[start[j]:start[j + 1]].
 
-    Short lists are merged with a heap, or by sorting them together when they hold more than ``heap`` numbers; the long
-    ones are probed by bisection, for all candidates at once. ``wanted`` maps candidates to a mask of those of interest.
+    The longest lists, fewer than ``need`` of them and none of under ``long`` numbers, are put aside. The others are
+    merged, with a heap or, where they hold more than ``heap`` numbers, by counting in an array; numbers that can still
+    reach ``need`` are looked up in the long lists by bisection. ``wanted`` maps candidates to a mask of those of interest.
     """
-    lists = [x for x in lists if len(x) and x[0] < stop]
-    if need < 1 or len(lists) < need:
-        return []
-    lists.sort(key=len, reverse=True)
-    skip = min(need - 1, int(need / (0.01 * max(1.0, np.log2(len(lists[0]) + 1)) + 1)))
-    long, short = lists[:skip], lists[skip:]
-    if sum(map(len, short)) <= heap:
-        runs = [(k, len(list(g))) for k, g in groupby(heapq.merge(*[x.tolist() for x in short]))]
+    size = start[of + 1] - start[of]
+    if need < 1 or np.count_nonzero(size) < need:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(-size, kind="stable")
+    skip = min(need - 1, int(need / (np.log2(size.max() + 1) + 1)), int((size >= long).sum()))
+    aside, short, size = of[order[:skip]], of[order[skip:]], size[order[skip:]]
+    if size.sum() <= heap:
+        runs = [(k, len(list(g))) for k, g in groupby(heapq.merge(*[holders[start[j] : start[j + 1]].tolist() for j in short]))]
         number, count = np.array([k for k, _ in runs], dtype=np.int64), np.array([c for _, c in runs], dtype=np.int64)
+        keep = count >= need - skip
+        number, count = number[keep], count[keep]
     else:
-        number, count = np.unique(np.concatenate(short), return_counts=True)
-    keep = (count >= need - skip) & (number < stop)
-    number, count = number[keep], count[keep]
+        ends = np.cumsum(size)
+        counts = np.bincount(holders[np.repeat(start[short] - ends + size, size) + np.arange(ends[-1])])
+        number = np.flatnonzero(counts >= max(1, need - skip))
+        count = counts[number]
     if wanted is not None and len(number):
         keep = wanted(number)
         number, count = number[keep], count[keep]
-    for left, x in zip(range(len(long), 0, -1), long):
+    for left, j in zip(range(skip, 0, -1), aside):
         keep = count + left >= need
-        if not keep.all():
-            number, count = number[keep], count[keep]
+        number, count = number[keep], count[keep]
         if not len(number):
-            return []
+            break
+        x = holders[start[j] : start[j + 1]]
         at = np.searchsorted(x, number)
         at[at == len(x)] = 0
         count = count + (x[at] == number)
-    return number[count >= need].tolist()
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return int((a[at] == b).sum())
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    o = overlap(a, b) if len(a) >= len(b) else overlap(b, a)
-    return 100 * o >= percent * (len(a) + len(b) - o)
+    keep = count >= need
+    return number[keep], count[keep]
 
 
 def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: JaccardParams) -> list[tuple[int, int]]:
@@ -152,15 +146,14 @@ def search(sets: list[np.ndarray], queries: np.ndarray, labels: np.ndarray, p: J
     def ask(k: int, skip: set[int]) -> None:
         """Links set k with all partners that it isn't connected with yet, but for those in ``skip``."""
         mine = number[bounds[k] : bounds[k + 1]]
-        lists = [holders[start[j] : start[j + 1]] for j in mine[df[mine] > 1].tolist()]
         own = union.find(k)
 
         def wanted(c: np.ndarray) -> np.ndarray:
             return np.array([x != k and x not in skip and union.find(x) != own for x in c.tolist()], dtype=bool)
 
         least = required(sizes[k], -(-p.percent * sizes[k] // 100), p.percent)
-        for c in divide_skip(lists, min(least, sizes[k]), n, wanted):
-            if union.find(c) != union.find(k) and linked(sets[k], sets[c], p.percent) and union.join(k, c):
+        for c, o in zip(*(x.tolist() for x in divide_skip(holders, start, mine[df[mine] > 1], min(least, sizes[k]), wanted))):
+            if 100 * o >= p.percent * (sizes[k] + sizes[c] - o) and union.join(k, c):
                 links.append((int(order[k]), int(order[c])))
 
     # In a group of many sets the most typical ones, which ask first, connect nearly all of it.
@@ -230,20 +223,20 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     the join. Tables of earlier steps are deleted.
     """
     e = ws.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    parts = max(8, e.count() // 200_000)  # rows never get more than they are now
     while True:
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1")
+        if not open_.agg(F.count("*")).first()[0]:  # stars: each id has one centre, which has none
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ws.cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = ws.cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().coalesce(parts))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        new = ws.cut(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        new = ws.cut(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         ws.drop(e, large)
         e = new
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == state:
-            break
-        state = (now["n"], now["h"])
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -254,15 +247,14 @@ def _bits(members: int, p: JaccardParams) -> int:
     return min(p.bits, max(16, (8 * members).bit_length()))
 
 
-def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
-    """Bytes of a bitmap of 2**bits with the given positions set."""
+def _bitmaps(positions: DataFrame, bits: list[int]) -> list[np.ndarray]:
+    """Bytes of bitmaps of 2**bits[map] with the given (map, pos) set."""
     x = F.col("pos") + 1
-    rows = positions.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("b")).toLocalIterator()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        part = np.frombuffer(r["b"], np.uint8)
-        start = (r["k"] - 1) * 4096
-        out[start : start + len(part)] = part[: len(out) - start]
+    found = positions.groupBy("map", F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("b"))
+    out = [np.zeros(1 << (k - 3), np.uint8) for k in bits]
+    for r in found.collect():  # as many bytes as the bitmaps have, at most
+        part, start, to = np.frombuffer(r["b"], np.uint8), (r["k"] - 1) * 4096, out[r["map"]]
+        to[start : start + len(part)] = part[: len(to) - start]
     return out
 
 
@@ -277,7 +269,7 @@ class SomeSets:
         """``ids`` has the column id."""
         self.p, bits = p, _bits(ids.count(), p)
         place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
-        self.wanted: Broadcast = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(place("id").alias("pos")), bits))
+        self.wanted: Broadcast = docs.sparkSession.sparkContext.broadcast(_bitmaps(ids.select(F.lit(0).alias("map"), place("id").alias("pos")), [bits])[0])
         self.rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), place("doc_id").alias("pos"), "text")
 
     def done(self) -> None:
@@ -399,16 +391,15 @@ class Bands:
 
     def __init__(self, shared: DataFrame, bits: int, p: JaccardParams) -> None:
         counts = {r["band"]: r["count"] for r in shared.groupBy("band").count().collect()}
-        self.maps = []
-        for band in range(1, max(counts, default=0) + 1):
-            own = min(bits, _bits(sum(n for b, n in counts.items() if b >= band), p))
-            pos = shared.filter(F.col("band") >= band).select(F.shiftright("pos", bits - own).alias("pos"))
-            self.maps.append((own, _bitmap(pos, own)))
+        self.bits = [min(bits, _bits(sum(n for b, n in counts.items() if b >= band), p)) for band in range(1, max(counts, default=0) + 1)]
+        down = ", ".join(str(bits - own) for own in self.bits) or "0"
+        every = shared.withColumn("map", F.explode(F.sequence(F.lit(0).cast("long"), F.col("band") - 1)))
+        self.maps = _bitmaps(every.select("map", F.expr(f"shiftright(pos, element_at(array({down}), CAST(map AS int) + 1))").alias("pos")), self.bits)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         out = np.zeros(len(shingles), np.int8)
         among = np.arange(len(shingles))
-        for bits, bitmap in self.maps:
+        for bits, bitmap in zip(self.bits, self.maps):
             among = among[_has(bitmap, (shingles[among] >> np.uint64(64 - bits)).astype(np.int64))]
             out[among] += 1
         return out

@@ -150,11 +150,48 @@ def test_divide_skip():
     rng = np.random.default_rng(2)
     for _ in range(40):
         lists = [sorted(set(rng.integers(0, 30, rng.integers(1, 20)).tolist())) for _ in range(25)]
-        c = Counter(x for s in lists for x in s)
+        holders, start = np.concatenate([np.array(x) for x in lists]), np.r_[0, np.cumsum([len(x) for x in lists])]
+        of = np.flatnonzero(rng.random(25) < 0.9)
+        c = Counter(x for k in of for x in lists[k])
         for need in (1, 5, 12, 20):
-            want = sorted(k for k, n in c.items() if n >= need and k < 25)
+            want = sorted((k, n) for k, n in c.items() if n >= need)
             for heap in (0, 4096):
-                assert jaccard.divide_skip([np.array(x) for x in lists], need, 25, heap=heap) == want
+                for long in (1, 10, 64):
+                    got = jaccard.divide_skip(holders, start, of, need, heap=heap, long=long)
+                    assert list(zip(*(x.tolist() for x in got))) == want
+
+
+def test_shingle_sets_tell_texts_apart_as_words_do():
+    """Equal words in whatever case give equal sets; texts, nulls and slices of a column don't touch each other."""
+    import pyarrow as pa
+
+    from graphloom.llm.shingles import shingle_sets, word_hashes
+
+    rng = np.random.default_rng(9)
+    alphabet = ["a", "B", "b", "\t", " ", "\n", "é", "日", "\x1c", "\u2003", "x" * 70, "X" * 70, "1"]
+    made = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(300)] + [None, "", " ", "a b c d e f"]
+    for column in (pa.array(made), pa.array(["zz", *made]).slice(1), pa.array(made, pa.large_string())):
+        names, at = word_hashes(column)
+        flat, ends = shingle_sets(column)
+        known: dict = {}
+        for k, t in enumerate(made):
+            w = WORD(ascii_lower(t))
+            own = names[at[k] : at[k + 1]].tolist()
+            assert len(own) == len(w) and all(known.setdefault(x, h) == h for x, h in zip(w, own))
+            want = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+            got = flat[ends[k] : ends[k + 1]].tolist()
+            assert len(got) == len(want) and got == sorted(got)
+            assert all(known.setdefault(x, None) is None for x in want) and known.setdefault(frozenset(want), got) == got
+        assert len(set(h for h in known.values() if isinstance(h, int))) == sum(isinstance(h, int) for h in known.values())
+
+
+def test_packed_numbers():
+    from graphloom.llm.jaccard import pack, unpack
+
+    rng = np.random.default_rng(1)
+    for v in ([], [0], [65534, 65535, 65536, 131069, 131070, 131071], [0, 2**32 - 1], np.unique(rng.integers(0, 2**29, 20000)), np.unique(rng.integers(0, 2**16, 500))):
+        v = np.array(v, dtype=np.int64)
+        assert unpack(*pack(v)).tolist() == v.tolist()
 
 
 def test_jaccard_empty(spark):
