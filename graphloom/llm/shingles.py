@@ -25,6 +25,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 TABLE, IN_WORD = _tables()
+#: Letters and digits, and whatever isn't ASCII.
+LETTER = np.array([k >= 128 or chr(k).isalnum() for k in range(256)])
 
 
 def stir(h: np.ndarray) -> np.ndarray:
@@ -44,10 +46,28 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets of each text's words). Words lie between the six ASCII white-space characters."""
+def _unpunctuated(raw: np.ndarray) -> np.ndarray:
+    """Whether a byte of UTF-8 belongs to a word of letters and digits: not ASCII signs, nor U+0080-00BF, U+2000-207F, U+3000-303F."""
+    inside = LETTER[raw]
+    lead = np.flatnonzero(raw >= 0xC2)
+    for first, second, length in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):
+        k = lead[raw[lead] == first]
+        if second is not None:
+            k = k[np.isin(raw[k + 1], second)]
+        for j in range(length):
+            inside[k + j] = False
+    return inside
+
+
+def word_hashes(column: pa.Array, punctuation: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets of each text's words). Words lie between the six ASCII white-space characters.
+
+    Without ``punctuation``, words are runs of letters and digits, in lower case also beyond ASCII.
+    """
+    if not punctuation:
+        column = pc.utf8_lower(column)
     raw, at = _bytes_of(column)
-    inside = IN_WORD[raw]
+    inside = IN_WORD[raw] if punctuation else _unpunctuated(raw)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = at[:-1][at[:-1] < len(raw)]  # a text's first byte begins a word, whatever stands before it
@@ -59,6 +79,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(starts[0], len(raw), dtype=np.int32)
     place -= np.repeat(starts.astype(np.int32), bound - starts)
     v = TABLE[((place & (PLACES - 1)) << 8) + raw[starts[0] :]]
+    if not punctuation:
+        v[~inside[starts[0] :]] = 0
     if place.max(initial=0) >= PLACES:
         v *= (place.astype(np.uint64) >> np.uint64(6) << np.uint64(1)) | np.uint64(1)
     return stir(np.add.reduceat(v, starts - starts[0])), np.searchsorted(starts, at)
@@ -94,3 +116,26 @@ def shingle_sets(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarr
     keep[first] = True
     ends = np.r_[0, np.cumsum(keep)]
     return flat[keep], ends[out]
+
+
+class Lookup:
+    """Numbers of hashes among sorted distinct ``keys``, -1 for others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.bits = keys, max(10, (16 * len(keys)).bit_length())
+        slots = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.first = np.searchsorted(slots, np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int32)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(hashes), -1, np.int32)
+        among = np.flatnonzero(at < end)
+        while len(among):
+            here = at[among]
+            hit = self.keys[here] == hashes[among]
+            out[among[hit]] = here[hit]
+            at[among] += 1
+            among = among[~hit]
+            among = among[at[among] < end[among]]
+        return out
