@@ -233,6 +233,46 @@ def test_mixing(spark, sf, odd):
     assert mixing.mix_documents(odd).columns == odd.columns
 
 
+def clashing(odd):
+    """The odd rows with columns named as the stages might name their own."""
+    for k, c in enumerate(["measured", "fences", "group_lang", "group_source", "row", "part", "copies", "idx", "key", "kappa", "rounds", "s", "h", "_size", "_copy", "_lang", "component", "rep"]):
+        odd = odd.withColumn(c, F.lit(k))
+    return odd
+
+
+def test_stages_bear_clashing_names_and_empty_tables(spark, odd):
+    odd = clashing(odd)
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    for stage in (quality.keep_documents, jaccard.drop_near_copies, lambda d: decontam.clean_documents(d, bench), mixing.mix_documents):
+        left = stage(odd)
+        assert left.columns == odd.columns and {r["_copy"] for r in left.collect()} <= {14}
+        assert stage(odd.limit(0)).collect() == [] and stage(odd.limit(0)).columns == odd.columns
+
+
+def test_one_row_stays_of_near_copies(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, near, "a"), (1, near, "a"), (2, near, "b"), (3, near + " more", "c"), (4, "other words", "d"), (4, "quite other words", "d"), (None, near, "e"), (None, near, "e"), (5, None, "f"), (6, "", "g")]
+    left = jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, near), (4, "other words"), (4, "quite other words"), (None, near), (None, near), (5, None), (6, "")])
+
+
+def test_mixing_of_rows_with_null_or_equal_ids(spark):
+    """Rows that can't be told apart by id are taken one by one, so sources come near their targets, and the texts agree with the report."""
+    rows = [(None, f"{k} " * 10, "a") for k in range(50)] + [(None, "same text of ten words as all the others are", "b")] * 50 + [(7, f"{k} x " * 5, "c") for k in range(50)] + [(8, "t " * 10, "c")] * 2500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    report = mixing.mix_report(docs).collect()
+    taken, target = Counter(), {}
+    for r in report:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert len(report) == len(rows) and all(target[s] - 10 <= taken[s] <= target[s] + 1 for s in "abc")
+    want = Counter()
+    for r in report:
+        want[r["source"], r["doc_id"]] += r["copies"]
+    assert Counter((r["source"], r["doc_id"]) for r in mixing.mix_documents(docs).collect()) == Counter({k: n for k, n in want.items() if n})
+
+
 def test_mixing_solves_the_odds_of_nearly_equal_sizes(spark):
     """Nearly all words of a source whose documents hardly differ in size: the scale solves sum(min(1, kappa s) s) = rest."""
     size = np.random.default_rng(8).integers(100, 121, 2000)
