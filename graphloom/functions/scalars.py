@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The timer names that a training log uses, with their significant trailing spaces.
 COMM_KEYS = ("gather ", "all-reduce ", "reduce-scatter ")
-COMP_KEYS = ("AGG = A * H", "OUT = AGG * W", "GRAD_W", "GRAD_AGG", "GRAD_H")
+COMP_KEYS = ("AGG = A * H ", "OUT = AGG * W ", "GRAD_W = AGG.T * GRAD_OUT ", "GRAD_AGG = GRAD_OUT * W.T ", "GRAD_H = A.T * GRAD_AGG ")
 LOSS_KEY = "cross entropy"
 EPOCH_KEY = "epoch "
 
@@ -43,7 +43,8 @@ def extract_avg_time(line: Column) -> Column:
 
 
 def classify_line(line: Column) -> Column:
-    """First match wins: epoch, comm, comp, loss; null for anything else. Case and spaces matter."""
+    """First match wins: epoch, comm, comp, loss; null for anything else. Case and inner spaces matter, those around the line don't."""
+    line = F.btrim(line, F.lit(" \t\n\r\f\x0b"))
     any_of = lambda keys: reduce(lambda a, b: a | b, [line.contains(k) for k in keys])
     return (
         F.when(line.contains(EPOCH_KEY), "epoch")

@@ -94,16 +94,24 @@ def read_tiled_labels(spark: SparkSession, path: str, num_layers: int, rows: tup
 
 
 def load_shard(spark: SparkSession, path: str, grid: GridConfig, rank: int, num_layers: int) -> dict:
-    """What one rank holds: a block and its transpose for each layer residue, features, labels, and the sizes."""
+    """What one rank holds, from either form of a stored graph: a block and its transpose for each layer residue, features,
+    labels, and the sizes."""
     m = read_metadata(spark, path)
     residues = min(num_layers, 6 if m["double_perm"] else 3)
     bounds = shard_bounds(spark, grid, m["num_nodes"], m["num_features"], num_layers).filter(F.col("rank") == rank).orderBy("layer").limit(residues).collect()
-    blocks = [read_tiled_edges(spark, path, b["layer"], (b["row_start"], b["row_stop"]), (b["col_start"], b["col_stop"])) for b in bounds]
     b = bounds[0]
+    nodes, feats, labels = (b["node_start"], b["node_stop"]), (b["feat_start"], b["feat_stop"]), (b["label_start"], b["label_stop"])
+    if m["n_tiles"]:
+        blocks = [read_tiled_edges(spark, path, x["layer"], (x["row_start"], x["row_stop"]), (x["col_start"], x["col_stop"])) for x in bounds]
+        held = read_tiled_features(spark, path, nodes, feats, padded=True), read_tiled_labels(spark, path, num_layers, labels, padded=True)
+    else:
+        g = load_graph(spark, path)
+        blocks = [cut_edges(g.adjacency(x["layer"]), (x["row_start"], x["row_stop"]), (x["col_start"], x["col_stop"])) for x in bounds]
+        held = cut_features(g.nodes, nodes, feats, padded=True), cut_labels(g.targets(num_layers), *labels, padded=True)
     return {
         "adjacency": [(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")) for e in blocks],
-        "features": read_tiled_features(spark, path, (b["node_start"], b["node_stop"]), (b["feat_start"], b["feat_stop"]), padded=True),
-        "labels": read_tiled_labels(spark, path, num_layers, (b["label_start"], b["label_stop"]), padded=True),
+        "features": held[0],
+        "labels": held[1],
         "depth": (b["depth_start"], b["depth_stop"]),
         "num_nodes": m["num_nodes"], "num_features": m["num_features"], "num_classes": m["num_classes"],
     }

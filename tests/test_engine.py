@@ -124,3 +124,105 @@ def test_orphan_timer(spark):
     with pytest.raises(AssertionError):
         telemetry.format_tree(tree)
     assert len(telemetry.format_tree(tree.filter("NOT orphan"))) == 2
+
+
+def test_mtx_keeps_an_entry_that_reads_like_the_size_line(spark, tmp_path):
+    from graphloom.sources.text import read_mtx, write_mtx
+
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% note\n3 3 3\n1 2 5\n3 3 3\n2 1 0\n3 3 3\n")
+    edges, n = read_mtx(spark, f"file://{tmp_path}/a.mtx", keep_values=True)
+    assert n == 3 and sorted(map(tuple, edges.collect())) == [(0, 1, 5.0), (2, 2, 3.0), (2, 2, 3.0)]
+    (tmp_path / "p.mtx").write_text("%%MatrixMarket matrix coordinate pattern symmetric\n4 4 2\n2 1\n3 3\n")
+    assert sorted(map(tuple, read_mtx(spark, f"file://{tmp_path}/p.mtx")[0].collect())) == [(0, 1, 1.0), (1, 0, 1.0), (2, 2, 1.0)]
+    path = write_mtx(edges.repartition(3), f"file://{tmp_path}/out", 3, "some/folder/graph.pt")
+    assert path.endswith("/out/graph.mtx")
+    lines = (tmp_path / "out" / "graph.mtx").read_text().splitlines()
+    assert lines[1] == "3 3 3" and sorted(lines[2:]) == ["1 2 5.0", "3 3 3.0", "3 3 3.0"]
+
+
+def test_training_equals_numpy(spark):
+    """Three epochs of loss, weights and trained features against a dense version."""
+    import numpy as np
+
+    from graphloom.operators.nn import AdamW, Net
+    from graphloom.plans.train import Trainer
+    from graphloom.schema import Graph
+
+    rng = np.random.default_rng(0)
+    n, f, c = 12, 5, 3
+    a = (rng.random((n, n)) < 0.3) * rng.random((n, n))
+    x, y = rng.random((n, f)), rng.integers(-1, c, n)
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(n)], "id long, h array<double>")
+    labels = spark.createDataFrame([(k, int(y[k]) if y[k] >= 0 else None) for k in range(n)], "id long, y int")
+    trainer = Trainer(Graph(edges, nodes, labels, n, f, c), Net.build(3, f, 4, c), AdamW(lr=0.05, weight_decay=0.01))
+    got = [r["loss"] for r in trainer.fit(3)]
+
+    w = [layer.weight for layer in Net.build(3, f, 4, c).layers]
+    state = [(v, np.zeros_like(v), np.zeros_like(v)) for v in [*w, x]]
+    want = []
+    for t in range(1, 4):
+        *w, h = [s[0] for s in state]
+        aggs, zs = [], []
+        for k in range(3):
+            aggs.append(a @ h)
+            zs.append(aggs[-1] @ w[k])
+            h = np.maximum(zs[-1], 0)
+        p = np.exp(zs[-1] - zs[-1].max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        known = y >= 0
+        want.append(-np.log(np.maximum(p[known, y[known]], 1e-9)).sum() / n)
+        g = (p - np.eye(c)[np.maximum(y, 0)]) * known[:, None] / n
+        grads = [None] * 3
+        for k in (2, 1, 0):
+            grads[k] = aggs[k].T @ g
+            g = a.T @ (g @ w[k].T)
+            if k:
+                g = g * (zs[k - 1] > 0)
+        new = []
+        for (v, m, s), d in zip(state, [*grads, g]):
+            m, s = 0.9 * m + 0.1 * d, 0.999 * s + 0.001 * d * d
+            new.append((v - 0.05 * (m / (1 - 0.9**t) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8) + 0.01 * v), m, s))
+        state = new
+    assert np.allclose(got, want, atol=1e-9)
+    for layer, (v, _, _) in zip(trainer.net.layers, state):
+        assert np.allclose(layer.weight, v, atol=1e-7)
+    for r in trainer.state.collect():
+        assert all(np.allclose(r[k], state[3][j][r["id"]], atol=1e-7) for j, k in enumerate(("h", "m", "v")))
+    trainer.close()
+
+
+def test_shards_of_every_rank_and_layer(spark, tmp_path):
+    """Blocks of all ranks and layer residues, from the tiled and the plain form, against slices of dense matrices."""
+    import numpy as np
+
+    from graphloom.config import GridConfig
+    from graphloom.operators.tiling import shard_bounds
+    from graphloom.schema import Graph
+    from graphloom.sources import store
+
+    rng = np.random.default_rng(3)
+    n, f, layers = 10, 6, 4
+    a = [(rng.random((n, n)) < 0.4) * rng.integers(1, 9, (n, n)) for _ in range(2)]
+    frame = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(k, [float(10 * k + j) for j in range(f)]) for k in range(n)], "id long, h array<double>")
+    ys = [spark.createDataFrame([(k, (k + d) % 3) for k in range(n)], "id long, y int") for d in range(2)]
+    g = Graph(frame(a[0]), nodes, ys[0], n, f, 3, frame(a[1]), ys[1])
+    store.save_tiled(g, f"file://{tmp_path}/tiled", 3)
+    store.save_graph(g, f"file://{tmp_path}/plain")
+    grid = GridConfig(2, 1, 2)
+    bounds = {(b["rank"], b["layer"]): b for b in shard_bounds(spark, grid, n, f, layers).collect()}
+    for rank in range(4):
+        for form in ("tiled", "plain"):
+            got = store.load_shard(spark, f"file://{tmp_path}/{form}", grid, rank, layers)
+            assert len(got["adjacency"]) == layers
+            for layer, (block, back) in enumerate(got["adjacency"]):
+                b = bounds[rank, layer]
+                part = a[layer % 2][b["row_start"] : b["row_stop"], b["col_start"] : b["col_stop"]]
+                want = sorted((int(i), int(j), float(part[i, j])) for i, j in zip(*np.nonzero(part)))
+                assert sorted(map(tuple, block.select("src", "dst", "w").collect())) == want
+                assert sorted((j, i, w) for i, j, w in back.select("src", "dst", "w").collect()) == want
+            if form == "tiled":
+                first = {k: sorted(map(str, got[k].collect())) for k in ("features", "labels")}
+            else:
+                assert first == {k: sorted(map(str, got[k].collect())) for k in ("features", "labels")}
