@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -69,6 +70,17 @@ def fresh(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def tidy() -> None:
+    """Hand memory that is no longer used back to the system. Python workers outlive their tasks, and idle ones would else
+    hold on to the most that any task needed, beside the workers and the JVM of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], text: str | None = None, limit: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once for each task and returns what maps a batch."""
     index = df.columns.index(text) if text else None
@@ -78,5 +90,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
         for b in batches:
             for part in slices(b, index, limit) if index is not None else [b]:
                 yield from each(part)
+        del each
+        tidy()
 
     return df.mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.lineage import Workspace
-from graphloom.llm.common import fresh, map_batches, read, slices
+from graphloom.llm.common import fresh, map_batches, read, slices, tidy
 from graphloom.llm.shingles import shingle_sets
 
 
@@ -45,7 +45,7 @@ class JaccardParams:
     pivots: int = 4  #: of each large cluster
 
 
-STEP = 2 << 20  #: bytes of text whose shingles are made at once
+STEP = 1 << 20  #: bytes of text whose shingles are made at once
 LOW = 29  #: bits of a shingle that are kept behind those that name its bucket
 FREQUENCIES = (2, 4, 16, 64, 256, 1024)  #: a shingle's band is the number of these that its count reaches
 
@@ -208,6 +208,8 @@ def search_groups(groups: DataFrame, p: JaccardParams) -> DataFrame:
                     held.append(row)
         if held:
             yield settle(held)
+        del held
+        tidy()
 
     n = 2 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return groups.select(*cols).repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(run, "a long, b long")
@@ -287,6 +289,8 @@ class SomeSets:
                     flat, at = shingle_sets(b.column(2), width)
                     yield from each((b.column(0), at, flat))
             yield from each(None)
+            del each
+            tidy()
 
         return self.rows.mapInArrow(run, schema)
 
@@ -343,7 +347,7 @@ def unpack(data: bytes, plain: bool) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
-def shared_shingles(some: SomeSets, total: int, chunk: int = 4_000_000, bucket: int = 4_000_000) -> tuple[DataFrame, int]:
+def shared_shingles(some: SomeSets, total: int, chunk: int = 2_000_000, bucket: int = 4_000_000) -> tuple[DataFrame, int]:
     """((pos, band) of the shingles that occur in two or more of the sets, bits of pos).
 
     Tasks deal their shingles by leading bits, each value once for a chunk with its count there (255 at most, which only

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import read, slices, texts
+from graphloom.llm.common import read, slices, texts, tidy
 
 SCHEMA = "n_tokens int, n_segments int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<int>"
 
@@ -172,6 +172,8 @@ def pack_documents(docs: DataFrame, p: PackParams = PackParams(), doc_id: str =
                         ids, owners, total = [], [], 0
         if ids:
             yield from _pieces(pack_block(ids, owners, p))
+        del encode, ids, owners
+        tidy()
 
     return docs.select(doc_id, text).mapInArrow(run, SCHEMA)
 
