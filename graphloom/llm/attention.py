@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 from numpy.lib.stride_tricks import as_strided
 
+from graphloom.llm.common import keep_heap
+
 NAMES = ("emb", "wq", "wk", "wv", "dist", "out", "bias")
 MASKED = np.float32(-30.0)
 
@@ -56,6 +58,7 @@ class Scorer:
     """Scores of whole batches with the weights folded into one table for each symbol."""
 
     def __init__(self, shape: Shape, w: dict[str, np.ndarray]) -> None:
+        keep_heap()
         d = shape.width
         self.shape = shape
         self.table = np.concatenate([w["emb"], w["emb"] @ w["wq"] / np.sqrt(d), w["emb"] @ w["wk"], w["emb"] @ w["wv"]], axis=1).astype(np.float32)
@@ -87,65 +90,102 @@ class Scorer:
 
 
 def gradient(shape: Shape, w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """(mean loss, gradients) on windows of symbols x (batch, 2 * block) and classes: x is a pair (symbols, targets), target < 0 is not scored."""
+    """(mean loss, gradients) on windows of symbols x (batch, 2 * block) and classes: x is a pair (symbols, targets), target < 0 is not scored.
+
+    Queries, keys and values are looked up in a table of all symbols, as in :class:`Scorer`; sums over short axes are
+    products with ones, and large arrays are changed in place.
+    """
     sym, tgt = x
-    b, d = shape.block, shape.width
-    e = w["emb"][sym]
-    q, k, v = e[:, b:] @ w["wq"], e @ w["wk"], e @ w["wv"]
-    scale = np.float32(1 / np.sqrt(d))
-    s = q @ k.transpose(0, 2, 1) * scale + distance_bias(w["dist"], b)
-    a = np.exp(s - s.max(axis=-1, keepdims=True))
-    a /= a.sum(axis=-1, keepdims=True)
-    h = e[:, b:] + a @ v
-    z = h @ w["out"] + w["bias"]
-    z -= z.max(axis=-1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(axis=-1, keepdims=True)
-    p /= total
-    t = tgt[:, b:]
-    scored = t >= 0
-    n = max(1, int(scored.sum()))
-    rows, cols = np.nonzero(scored)
-    loss = float(-(z[rows, cols, t[rows, cols]] - np.log(total[rows, cols, 0])).sum() / n)
-    dz = p * scored[..., None] / n
-    dz[rows, cols, t[rows, cols]] -= 1 / n
-    g = {"out": np.tensordot(h, dz, ([0, 1], [0, 1])), "bias": dz.sum(axis=(0, 1))}
-    dh = dz @ w["out"].T
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (a * da).sum(axis=-1, keepdims=True))
+    n, b, d, classes = len(sym), shape.block, shape.width, shape.classes
+    kind = w["emb"].dtype
+    scale = kind.type(1 / np.sqrt(d))
+    table = np.concatenate([w["emb"], w["emb"] @ w["wq"] * scale, w["emb"] @ w["wk"], w["emb"] @ w["wv"]], axis=1)
+    rows = np.take(table, sym.ravel(), axis=0).reshape(n, 2 * b, 4 * d)
+    e, q, k, v = rows[..., :d], rows[:, b:, d : 2 * d], rows[..., 2 * d : 3 * d], rows[..., 3 * d :]
+    a = q @ k.transpose(0, 2, 1)
+    a += distance_bias(w["dist"], b)
+    np.minimum(a, 60, out=a)  # far above any score that occurs; exp stays finite
+    np.exp(a, out=a)
+    a /= (a.reshape(-1, 2 * b) @ np.ones(2 * b, kind)).reshape(n, b, 1)
+    o = (a @ v).reshape(n * b, d)
+    h = e[:, b:].reshape(n * b, d) + o
+    p = h @ w["out"]
+    p += w["bias"]
+    p -= p.max()
+    t = tgt[:, b:].ravel()
+    scored = np.flatnonzero(t >= 0)
+    m = max(1, len(scored))
+    at = scored * classes + t[scored]
+    hit = p.ravel()[at]
+    np.exp(p, out=p)
+    total = p @ np.ones(classes, kind)
+    loss = float(-(hit - np.log(total[scored])).sum() / m)
+    weight = np.zeros(n * b, kind)
+    weight[scored] = 1 / m
+    p *= (weight / total)[:, None]
+    p.ravel()[at] -= kind.type(1 / m)  # now the gradient of the logits
+    g = {"out": h.T @ p, "bias": np.ones(n * b, kind) @ p}
+    dh = p @ w["out"].T
+    inner = (dh * o) @ np.ones(d, kind)  # the sum of a * da in each row
+    dh3 = dh.reshape(n, b, d)
+    dv = (a.transpose(0, 2, 1) @ dh3).reshape(-1, d)
+    ds = dh3 @ v.transpose(0, 2, 1)
+    ds -= inner.reshape(n, b, 1)
+    ds *= a
     gap = np.arange(b)[:, None] + b - np.arange(2 * b)[None, :]
-    g["dist"] = np.bincount(gap[gap >= 0], weights=ds.sum(axis=0)[gap >= 0], minlength=2 * b)[: 2 * b]
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    g["wq"], g["wk"], g["wv"] = (np.tensordot(m, dm, ([0, 1], [0, 1])) for m, dm in ((e[:, b:], dq), (e, dk), (e, dv)))
-    de = dk @ w["wk"].T + dv @ w["wv"].T
-    de[:, b:] += dh + dq @ w["wq"].T
-    emb = np.zeros_like(w["emb"], dtype=np.float64)
-    flat = de.reshape(-1, d)
-    for j in range(d):
-        emb[:, j] = np.bincount(sym.ravel(), weights=flat[:, j], minlength=shape.symbols)
-    g["emb"] = emb
+    by_place = (np.ones(n, kind) @ ds.reshape(n, -1)).reshape(b, 2 * b)
+    g["dist"] = np.bincount(gap[gap >= 0], weights=by_place[gap >= 0], minlength=2 * b)[: 2 * b]
+    dq = (ds @ k).reshape(-1, d) * scale
+    dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+    flat = np.ascontiguousarray(e).reshape(-1, d)
+    g["wq"] = np.ascontiguousarray(e[:, b:]).reshape(-1, d).T @ dq
+    g["wk"], g["wv"] = flat.T @ dk, flat.T @ dv
+    de = dk @ w["wk"].T
+    de += dv @ w["wv"].T
+    de.reshape(n, 2 * b, d)[:, b:] += (dh + dq @ w["wq"].T).reshape(n, b, d)
+    g["emb"] = _sum_rows(sym.ravel(), de, shape.symbols)
     return loss, g
 
 
+def _sum_rows(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of each index, ``size`` x width."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    if len(index):
+        order = np.argsort(index.astype(np.uint16 if size <= 1 << 16 else np.int64), kind="stable")  # short integers sort by radix
+        sorted_index = index[order]
+        start = np.flatnonzero(np.r_[True, sorted_index[1:] != sorted_index[:-1]])
+        out[sorted_index[start]] = np.add.reduceat(np.take(rows, order, axis=0), start, axis=0)
+    return out
+
+
 class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float) -> None:
-        self.w, self.rate, self.t = {k: v.astype(np.float32) for k, v in w.items()}, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in self.w.items()}
+    """All weights stand in one vector, of which ``w`` holds views."""
+
+    def __init__(self, shape: Shape, w: dict[str, np.ndarray], rate: float) -> None:
+        self.rate, self.t = rate, 0
+        self.flat = shape.pack(w).astype(np.float32)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.w, at = {}, 0
+        for k, size in shape.sizes().items():
+            n = int(np.prod(size))
+            self.w[k] = self.flat[at : at + n].reshape(size)
+            at += n
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k in NAMES:
-            x = g[k].astype(np.float32)
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
+        x = np.concatenate([g[k].ravel() for k in NAMES]).astype(np.float32, copy=False)
+        self.m += 0.1 * (x - self.m)
+        x *= x
+        self.v += 0.01 * (x - self.v)
+        far = np.sqrt(self.v / (1 - 0.99**self.t))
+        far += 1e-8
+        self.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / far
 
 
 def train(shape: Shape, w: dict[str, np.ndarray], symbols: np.ndarray, targets: np.ndarray, rate: float, epochs: int = 1, batch: int = 128, seed: int = 0) -> dict[str, np.ndarray]:
     """Adam over shuffled batches of windows."""
-    opt, rng = Adam(w, rate), np.random.default_rng(seed)
+    keep_heap()
+    opt, rng = Adam(shape, w, rate), np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(symbols)), max(1, len(symbols) // batch)):
             if len(part):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.lineage import parquet_cut
 from graphloom.llm.attention import Scorer, Shape, train
-from graphloom.llm.common import lowered, read, slices, words_of
+from graphloom.llm.common import lowered, read, slices, tidy, words_of
 from graphloom.llm.packing import Encoder
 
 END = " "  #: stands for the end of a text among words, which never hold a blank
@@ -260,6 +260,7 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
         if seen:
             flat = shape.pack(now)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["k", "v", "n"])
+        tidy()
 
     got = rows.select("text").mapInArrow(run, "k long, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()  # one row for each weight
     if not got:
@@ -367,6 +368,7 @@ def score_documents(docs: DataFrame, p: LmParams = LmParams(), doc_id: str = "do
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        tidy()
 
     schema = "word string, uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, times long"
     told = rows.mapInArrow(run, schema).join(counts, "word", "left")
