@@ -80,13 +80,13 @@ class Scorer:
         s[first, :, :b] = MASKED
         np.exp(s, out=s)
         o = np.matmul(s, view(3 * d, 0, 2 * b))
-        o /= s.sum(axis=-1, keepdims=True)
+        o /= (s.reshape(-1, 2 * b) @ np.ones(2 * b, s.dtype)).reshape(n, b, 1)
         h = rows[b:, :d].reshape(n * b, d) + o.reshape(n * b, d)
         z = h @ self.out
         z += self.bias
         hit = z[np.arange(n * b), targets.ravel()]
         np.exp(z, out=z)
-        return (hit - np.log(z.sum(axis=1))).reshape(n, b)
+        return (hit - np.log(z @ np.ones(self.shape.classes, z.dtype))).reshape(n, b)
 
 
 def gradient(shape: Shape, w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
