@@ -47,15 +47,24 @@ def parquet_cut(df: DataFrame, name: str) -> DataFrame:
 
 
 class Workspace:
-    """A folder of tables in shared storage for one operator, which deletes what is no longer needed."""
+    """A folder of tables in shared storage for one operator, which deletes what is no longer needed.
+
+    Every table leaves its plan, metrics and broadcasts behind on the driver, whose heap would grow to its limit before the JVM
+    looks for them; so they are collected once in ``EVERY`` tables, and broadcasts nobody holds are then freed everywhere.
+    """
+
+    EVERY = 8
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path, self._at = spark, scratch(spark, name), {}
+        self.spark, self.path, self._at, self._written = spark, scratch(spark, name), {}, 0
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as a Parquet table and return it read from there, without its lineage."""
         path = f"{self.path}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._written += 1
+        if self._written % self.EVERY == 0:
+            self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self._at[id(out)] = (out, path)
         return out
