@@ -168,11 +168,10 @@ def _cut_once(keyed: DataFrame, state: DataFrame, few: bool, p: MixParams, ws: W
     for _ in range(p.levels):
         inside = _meet(free, at, few, "idx").filter((F.col("key") > 0) & (F.col("key") >= F.col("low")) & (F.col("key") < F.col("low") + wide))
         wide /= p.slices
-        sums = inside.groupBy("idx", F.floor((F.col("key") - F.col("low")) / wide).alias("slice")).agg(F.sum("size").alias("s"))
-        sums = sums.withColumn("before", F.sum("s").over(upto) - F.col("s")).join(at, "idx")
-        over = sums.filter(F.col("base") + F.col("before") + F.col("s") > F.col("room")).groupBy("idx").agg(F.min(F.struct("slice", "before")).alias("f"))
-        every = sums.groupBy("idx").agg(F.sum("s").alias("all"))
-        found = at.join(over, "idx", "left").join(every, "idx", "left")
+        sums = inside.groupBy("idx", "room", "base", F.floor((F.col("key") - F.col("low")) / wide).alias("slice")).agg(F.sum("size").alias("s"))
+        sums = sums.withColumn("before", F.sum("s").over(upto) - F.col("s"))
+        over = F.col("base") + F.col("before") + F.col("s") > F.col("room")
+        found = at.join(sums.groupBy("idx").agg(F.min(F.when(over, F.struct("slice", "before"))).alias("f"), F.sum("s").alias("all")), "idx", "left")
         past = F.when(F.col("f").isNotNull(), F.col("f.slice")).when(F.col("all").isNotNull(), F.lit(p.slices)).otherwise(F.lit(0))
         found = found.select("idx", "room", (F.col("low") + past * wide).alias("low"), (F.col("base") + F.coalesce("f.before", "all", none)).alias("base"))
         at, old = ws.cut(_few(found, few)), at
