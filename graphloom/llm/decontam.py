@@ -2,10 +2,10 @@
 
 Benchmark passages and document windows are TF-IDF vectors over the benchmark's terms. Document frequencies come from
 all documents. Terms fall in two spaces, the rarer ones and the common ones, so that a copy that keeps little but common
-words isn't outweighed by the rare ones that it lost. In each space a randomised SVD, whose products with the passage
-matrix run on the executors, gives latent vectors; every window of every document is compared with every passage there
-by cosine. Candidates are then settled on the words: the longest common subsequence with the passage, and for near
-misses its rarest words, the answer terms. Words are runs of letters and digits in lower case.
+words isn't outweighed by the rare ones that it lost. In each space a randomised SVD of the passages and of all windows
+of all documents, whose products run on the executors, gives latent vectors; every window of every document is compared
+with every passage there by cosine. Candidates are then settled on the words: the longest common subsequence with the
+passage, and for near misses its rarest words, the answer terms. Words are runs of letters and digits in lower case.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.lineage import Workspace
-from graphloom.llm.common import read, slices, tidy
+from graphloom.llm.common import keep_heap, read, slices, tidy
 from graphloom.llm.shingles import Lookup, word_hashes
 
 
@@ -32,7 +32,7 @@ class DecontamParams:
     common_rank: int = 48  #: latent dimensions of the common terms
     extra: int = 16  #: additional random directions of the SVD
     powers: int = 1  #: extra power iterations
-    fit_documents: int = 3000  #: documents that the SVD is fitted on, by hash of their id; all are indexed
+    weight: float = 0.01  #: a passage counts in the SVD as so many windows for each document, 30 at least
     common: float = 0.05  #: terms in more than this share of documents are common
     cosine: float = 0.45  #: candidates reach this in the space of the rarer terms
     common_cosine: float = 0.6  #: or this in the space of the common ones, if those make up near_share of the passage
@@ -70,24 +70,57 @@ class Bench:
         return cls(np.array(owner, dtype=np.int64), words, np.array(blocks), terms)
 
 
-def document_frequency(docs: DataFrame, bench: Bench) -> tuple[np.ndarray, int]:
-    """(documents with each term, documents), over all documents."""
-    terms, width = bench.terms, len(bench.terms)
+def coded(docs: DataFrame, bench: Bench, p: DecontamParams) -> DataFrame:
+    """(counts, ids) of every document: its words that are terms, as 32-bit numbers, and how many each window of three blocks holds, in 16 bits."""
+    terms, span = bench.terms, p.block * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = Lookup(terms), np.zeros(width + 1, np.int64)
+        number = Lookup(terms)
         for b in batches:
             for part in slices(b, 0, STEP):
                 hashes, at = word_hashes(part.column(0), punctuation=False)
-                ids = number(hashes)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(at))
-                once = np.unique(doc[ids >= 0] * width + ids[ids >= 0])
+                ids, words = number(hashes), np.diff(at)
+                windows = np.r_[0, np.cumsum(-(-words // span))]
+                known = np.flatnonzero(ids >= 0)
+                place = known - np.repeat(at[:-1], words)[known]
+                counts = np.bincount(np.repeat(windows[:-1], words)[known] + place // span, minlength=int(windows[-1]))
+                yield pa.RecordBatch.from_arrays([_binary(counts.astype("<u2"), windows), _binary(ids[known].astype("<i4"), np.searchsorted(known, at))], ["counts", "ids"])
+        tidy()
+
+    return docs.select("text").mapInArrow(run, "counts binary, ids binary")
+
+
+def _binary(numbers: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of the numbers between offsets, a value each."""
+    wide = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * numbers.itemsize).astype(np.int64)), pa.py_buffer(numbers)])
+    return wide.cast(pa.binary())
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all values, offsets of each value's): :func:`_binary` undone."""
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    o = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[o[0] : o[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw.copy().view(kind), (o - o[0]) // np.dtype(kind).itemsize
+
+
+def document_frequency(codes: DataFrame, bench: Bench) -> tuple[np.ndarray, int]:
+    """(documents with each term, documents), over all documents."""
+    width = len(bench.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(width + 1, np.int64)
+        for b in batches:
+            for part in slices(b, 0, STEP):
+                ids, at = _numbers(part.column(0), "<i4")
+                once = np.unique(np.repeat(np.arange(part.num_rows), np.diff(at)) * width + ids)
                 seen[1:] += np.bincount(once % width, minlength=width)
                 seen[0] += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), pa.array(seen)], ["k", "n"])
         tidy()
 
-    got = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # one row for each benchmark term
+    got = codes.select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # one row for each benchmark term
     out = np.zeros(width + 1, np.int64)
     out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out[1:], int(out[0])
@@ -106,63 +139,103 @@ def block_rows(ids: np.ndarray, idf: np.ndarray, block: int) -> tuple[np.ndarray
     return at // block, ids[at]
 
 
-def gram_products(sample: DataFrame, bench: Bench, idfs: list[np.ndarray], bases: list[np.ndarray], p: DecontamParams) -> list[np.ndarray]:
-    """(A'A) . basis for each space, where the rows of A are the sample's windows and the benchmark passages; partial sums on the executors."""
-    terms, width = bench.terms, len(bench.terms)
+def gram_products(codes: DataFrame, bench: Bench, idfs: list[np.ndarray], bases: list[np.ndarray], times: float) -> list[np.ndarray]:
+    """(A'A) . basis for each space, where the rows of A are the windows of all documents and, ``times`` over, the benchmark
+    passages; partial sums on the executors."""
+    width = len(bench.terms)
     weighted = [(idf[:, None] * basis).astype(np.float32) for idf, basis in zip(idfs, bases)]
     edges = np.r_[0, np.cumsum([b.shape[1] for b in bases])]
-    k, rows_each = int(edges[-1]), 256
+    k, rows_each = int(edges[-1]), 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, out = Lookup(terms), np.zeros((width, k))
+        keep_heap()
+        out = np.zeros((width, k))
         for b in batches:
-            for part in slices(b, 0, STEP):
-                hashes, at = word_hashes(part.column(0), punctuation=False)
-                ids, own = number(hashes), []
+            for part in slices(b, 1, STEP):
+                counts, _ = _numbers(part.column(0), "<u2")
+                cols, _ = _numbers(part.column(1), "<i4")
+                rows = np.repeat(np.arange(len(counts)), counts)
                 for s, (idf, w) in enumerate(zip(idfs, weighted)):
-                    for x, y in zip(at.tolist(), at[1:].tolist()):
-                        rows, cols = block_rows(ids[x:y], idf, p.block * 3)
-                        if len(rows):
-                            _add(out[:, edges[s] : edges[s + 1]], rows, cols, idf, w)
+                    weighs = idf[cols] > 0
+                    _add(out[:, edges[s] : edges[s + 1]], rows[weighs], cols[weighs], idf, w)
         starts = np.arange(0, width, rows_each)
-        yield pa.RecordBatch.from_arrays([pa.array(starts), pa.array([out[a : a + rows_each].tobytes() for a in starts.tolist()], pa.binary())], ["t", "v"])
+        parts = [(a, out[a : a + rows_each].astype(np.float32)) for a in starts.tolist()]
+        parts = [(a, x.tobytes()) for a, x in parts if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["t", "v"])
+        del out, parts
+        tidy()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0)
+        total = np.sum([np.frombuffer(v, np.float32) for v in pdf["v"]], axis=0, dtype=np.float64)
         return pd.DataFrame({"t": pdf["t"].iloc[:1], "v": [total.tobytes()]})
 
-    parts = sample.mapInArrow(run, "t long, v binary").groupBy("t").applyInPandas(add, "t long, v binary")
+    sums = codes.mapInArrow(run, "t long, v binary").groupBy("t").applyInPandas(add, "t long, v binary")
     total = np.zeros((width, k))
-    for r in parts.collect():  # benchmark terms x directions, 256 terms a row
+    for r in sums.collect():  # benchmark terms x directions, 16 terms a row
         block = np.frombuffer(r["v"]).reshape(-1, k)
         total[r["t"] : r["t"] + len(block)] = block
     out = [total[:, a:b] for a, b in zip(edges, edges[1:])]
+    cols = np.concatenate(bench.words)
+    rows = np.repeat(np.arange(len(bench.words)), [len(w) for w in bench.words])
     for idf, w, own in zip(idfs, weighted, out):
-        for words in bench.words:
-            cols = words[idf[words] > 0]
-            if len(cols):
-                _add(own, np.zeros(len(cols), np.int64), cols, idf, w, 30.0)
+        weighs = idf[cols] > 0
+        _add(own, rows[weighs], cols[weighs], idf, w, times)
     return out
 
 
+PIECE = 1 << 15  #: words whose products are taken at once
+
+
 def _add(out: np.ndarray, rows: np.ndarray, cols: np.ndarray, idf: np.ndarray, weighted: np.ndarray, times: float = 1.0) -> None:
-    """out += times * A' (A basis) for unit-length rows of A given by (row, term) pairs."""
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    lengths = np.diff(np.r_[starts, len(rows)])
-    norm = np.add.reduceat(idf[cols] ** 2, starts)
-    image = np.add.reduceat(weighted[cols], starts, axis=0) / norm[:, None]
-    np.add.at(out, cols, times * idf[cols][:, None] * np.repeat(image, lengths, axis=0))
+    """out += times * A' (A basis) for unit-length rows of A given by (row, term) pairs, in order of rows."""
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
+    squares, used = idf**2, np.flatnonzero(idf > 0)
+    place = np.cumsum(idf > 0) - 1
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE)))
+        first, last = starts[at], starts[to] if to < len(starts) else len(rows)
+        term, begin = cols[first:last], starts[at:to] - first
+        owner = np.repeat(np.arange(to - at), np.diff(np.r_[begin, len(term)]))
+        norm = np.add.reduceat(squares[term], begin)[:, None].astype(np.float32)
+        if (to - at) * len(used) <= 32 * len(term):  # few terms: dense products are quicker
+            dense = np.bincount(owner * len(used) + place[term], minlength=(to - at) * len(used)).reshape(to - at, len(used)).astype(np.float32)
+            here, sums = used, dense.T @ (dense @ weighted[used] / norm)
+        else:
+            image = _sums(weighted, term, begin) / norm
+            order = np.argsort(term, kind="stable")
+            run = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
+            here, sums = term[order][run], _sums(image, owner[order], run)
+        out[here] += times * idf[here][:, None] * sums
+        at = to
+
+
+def _sums(table: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``table[at]`` over the runs that begin at ``starts``: the first of each run, then the second, and so on."""
+    length = np.diff(np.r_[starts, len(at)])
+    order = np.argsort(-length, kind="stable")
+    begin, less = starts[order], -length[order]
+    sums = np.take(table, at[begin], axis=0)
+    many = int(np.searchsorted(less, -64))  # longer runs are summed one by one
+    for k in range(many):
+        sums[k] = np.take(table, at[begin[k] : begin[k] - less[k]], axis=0).sum(axis=0)
+    for j in range(1, int(-less[many]) if many < len(less) else 0):
+        to = int(np.searchsorted(less, -j))  # those with more than j
+        sums[many:to] += np.take(table, at[begin[many:to] + j], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
 
 
-def latent_bases(sample: DataFrame, bench: Bench, idfs: list[np.ndarray], p: DecontamParams) -> list[np.ndarray]:
+def latent_bases(codes: DataFrame, bench: Bench, idfs: list[np.ndarray], times: float, p: DecontamParams) -> list[np.ndarray]:
     """Leading right singular vectors (terms x rank) of each space by randomised subspace iteration (Halko, Martinsson, Tropp 2011)."""
     width, rng = len(bench.terms), np.random.default_rng(5)
     ranks = [p.rank, p.common_rank]
     bases = [np.linalg.qr(rng.standard_normal((width, min(r + p.extra, width))))[0] for r in ranks]
     for _ in range(p.powers):
-        bases = [np.linalg.qr(x)[0] for x in gram_products(sample, bench, idfs, bases, p)]
+        bases = [np.linalg.qr(x)[0] for x in gram_products(codes, bench, idfs, bases, times)]
     out = []
-    for basis, image, rank in zip(bases, gram_products(sample, bench, idfs, bases, p), ranks):
+    for basis, image, rank in zip(bases, gram_products(codes, bench, idfs, bases, times), ranks):
         small = basis.T @ image
         values, vectors = np.linalg.eigh((small + small.T) / 2)
         out.append(basis @ vectors[:, np.argsort(-values)[:rank]])
@@ -318,12 +391,11 @@ def searches(docs: DataFrame, benchmark: DataFrame, p: DecontamParams) -> Iterat
     for bench in benches(benchmark, p):
         if not len(bench.terms):
             continue
-        df, n = document_frequency(docs, bench)
+        codes = ws.cut(coded(docs, bench, p))  # read three times, and much smaller than the texts
+        df, n = document_frequency(codes, bench)
         idfs = weigh(df, n, p)
-        share = max(1, n // p.fit_documents)
-        sample = ws.cut(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").repartition(8))
-        found = latent_bases(sample, bench, idfs, p)
-        ws.drop(sample)
+        found = latent_bases(codes, bench, idfs, max(30.0, p.weight * n), p)
+        ws.drop(codes)
         yield bench, idfs, found
 
 

@@ -360,6 +360,33 @@ def test_decontamination_finds_a_frequent_paraphrase(spark):
     assert got == truth
 
 
+def test_decontamination_fits_on_all_documents(spark):
+    """The bases diagonalise the products of all windows of all documents and the passages, as counted by brute force."""
+    rng = np.random.default_rng(8)
+    items = [(k, " ".join(f"{'c' if j % 3 else 'r'}{x}" for j, x in enumerate(rng.integers(0, 12, 30)))) for k in range(4)]
+    texts = [None, "", "nothing here", *(" ".join([f"r{x}" for x in rng.integers(0, 12, 2)] * (d % 40 == 0) + [f"c{x}" for x in rng.integers(0, 12, int(rng.integers(1, 9)))]) for d in range(9000))]
+    texts.append(" ".join(f"{'r' if x > 5 and j % 9 == 0 else 'c'}{x}" for j, x in enumerate(rng.integers(0, 12, 3000))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    p = decontam.DecontamParams()
+    ((bench, idfs, bases),) = decontam.searches(docs, spark.createDataFrame(items, "item_id long, text string"), p)
+    names, n = sorted({w for _, t in items for w in t.split()}), len(texts)
+    held = Counter(w for t in texts for w in set((t or "").split()) if w in names)
+    rows = [t.split()[a : a + 48] for t in texts if t for a in range(0, len(t.split()), 48)]
+    number = dict(zip(names, decontam.Lookup(bench.terms)(decontam.word_hashes(decontam.pa.array([" ".join(names)], decontam.pa.large_string()), punctuation=False)[0])))
+    common = {w for w in names if held[w] > p.common * n}
+    assert 0 < len(common) < len(names) and all((idfs[1][number[w]] > 0) == (w in common) for w in names)
+    for idf, basis in zip(idfs, bases):
+        want = np.zeros((len(names), len(names)))
+        for words, times in [(r, 1) for r in rows] + [(t.split(), max(30, n / 100)) for _, t in items]:
+            v = np.zeros(len(names))
+            np.add.at(v, [number[w] for w in words if w in number], 1)
+            v, norm = v * idf, (v * idf**2).sum()
+            if norm:
+                want += times * np.outer(v, v) / norm
+        got = basis.T @ want @ basis
+        assert basis.shape == want.shape and np.abs(got - np.diag(np.diag(got))).max() < 1e-4 * np.abs(want).max()
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(50):
