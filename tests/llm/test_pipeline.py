@@ -20,3 +20,20 @@ def test_stages(spark, sf):
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_decontamination_stage_fits_on_all_rows(spark, sf, monkeypatch):
+    """The products of the SVD run over every row of the stage, whatever its id."""
+    import corpus_pipeline
+    from graphloom.llm import decontam
+
+    seen, plain = [], decontam.gram_products
+
+    def products(rows, *rest):
+        seen.append(rows.count())
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(decontam, "gram_products", products)
+    docs = spark.range(7000).selectExpr("IF(id % 7 = 0, NULL, id) AS doc_id", "IF(id % 5 = 0, NULL, concat('some words ', id)) AS text")
+    assert corpus_pipeline.decontaminate_stage(spark, docs, sf).count() == 7000
+    assert seen == [7000, 7000]
