@@ -256,6 +256,17 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _places(words: np.ndarray, answer: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.uint64]]:
+    """(terms, bits of the places where each stands, those of the answer) for every 52 words of a passage: so many bits a float64 sums exactly."""
+    out = []
+    for k in range(0, len(words), 52):
+        terms, which = np.unique(words[k : k + 52], return_inverse=True)
+        bits = np.zeros(len(terms), np.uint64)
+        np.bitwise_or.at(bits, which, np.uint64(1) << np.arange(len(which), dtype=np.uint64))
+        out.append((terms, bits, np.bitwise_or.reduce(bits[np.isin(terms, answer)])))
+    return out
+
+
 class Space:
     """The latent vectors of terms and passages in one space."""
 
@@ -275,7 +286,7 @@ class Space:
         starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         used = rows[starts]
         sums = np.zeros((len(ids) // block + room, self.vectors.shape[1]), np.float32)
-        sums[used] = np.add.reduceat(self.vectors[cols], starts, axis=0)
+        sums[used] = _sums(self.vectors, cols, starts)
         most = self.sets[-1][0]
         mark = np.zeros(len(sums), bool)
         for k in range(most):
@@ -303,6 +314,7 @@ class Search:
         self.spaces = [Space(bench, every, idfs[0], bases[0], p.cosine), Space(bench, plain, idfs[1], bases[1], p.common_cosine)]
         self.lists = [w.tolist() for w in bench.words]
         self.answers = [set(w[np.argsort(-(idfs[0] + idfs[1])[w], kind="stable")[: p.answers]].tolist()) for w in bench.words]
+        self.places = [_places(w, np.array(sorted(a))) for w, a in zip(bench.words, self.answers)]
 
     def __call__(self, documents: pa.Array) -> list[list[tuple[int, float, float, bool]]]:
         """For each text its hits (item, share of the passage's words in order, cosine, answer terms present), the best window each."""
@@ -315,48 +327,52 @@ class Search:
         ids = np.full((int(blocks.sum()) + gap * (len(words) + 1)) * block, -1, np.int32)
         ids[np.repeat(first * block - at[:-1], words) + np.arange(len(hashes))] = self.number(hashes)
         found: list[dict[int, tuple[float, float, bool]]] = [{} for _ in words]
+        postings = self._postings(ids)
         for space in self.spaces:
             for size, begin, passage, cosine in space.candidates(ids, block, 2 * gap):
-                keep = self._enough(ids, begin, size, passage)
+                keep = self._enough(ids, postings, begin, size, passage)
                 begin, passage, cosine = begin[keep], passage[keep], cosine[keep]
                 owner = np.maximum(np.searchsorted(first, begin + size - 1, side="right") - 1, 0)
                 for w, m, c, d in zip(begin.tolist(), passage.tolist(), cosine.tolist(), owner.tolist()):
                     self._settle(ids, w, size, m, c, found[d])
         return [[(k, *v) for k, v in sorted(f.items())] for f in found]
 
-    def _enough(self, ids: np.ndarray, begin: np.ndarray, size: int, passage: np.ndarray) -> np.ndarray:
+    def _enough(self, ids: np.ndarray, postings: tuple[np.ndarray, list[int]], begin: np.ndarray, size: int, passage: np.ndarray) -> np.ndarray:
         """Whether a window holds so many of the passage's words that those in common order may suffice."""
         out = np.zeros(len(begin), bool)
         order = np.argsort(passage, kind="stable")
-        span = np.arange(size * self.p.block)
-        its = np.zeros(len(self.bench.terms) + 1, np.float32)  # the last stands for -1
-        blocks, ones = ids.reshape(-1, self.p.block), np.ones(self.p.block, np.float32)
-        counts = np.zeros(len(blocks), np.float32)
+        table = np.zeros(len(self.bench.terms) + 1, np.uint64)  # the last stands for -1
+        blocks, span = len(ids) // self.p.block, np.arange(size * self.p.block)
         for part in np.split(order, np.flatnonzero(np.diff(passage[order])) + 1):
             if len(part):
                 m = int(passage[part[0]])
-                words, answer = self.bench.words[m], sorted(self.answers[m])
-                least, near = self.p.share * len(words), self.p.near_share * len(words)
-                # Windows overlap, so words are counted once for each block.
-                first, mark = begin[part], np.zeros(len(blocks), bool)
-                for k in range(size):
-                    mark[first + k] = True
-                used = np.flatnonzero(mark)
-                its[words] = 1
-                counts[used] = its[blocks[used]] @ ones
-                its[words] = 0
-                held = sum(counts[first + k] for k in range(size))
-                out[part[held >= least]] = True
-                open_ = part[(held >= near) & (held < least)]
-                for k in range(0, len(open_), 10_000):
-                    some = open_[k : k + 10_000]
-                    window = ids[begin[some][:, None] * self.p.block + span]
-                    answered = np.ones(len(some), bool)
-                    for t in answer:
-                        answered &= (window == t).any(axis=1)
-                    out[some] = answered
+                first, held, answered = begin[part], np.zeros(len(part), np.int64), np.ones(len(part), bool)
+                for terms, bits, answer in self.places[m]:
+                    if 2 * len(part) * size < blocks:  # few windows are looked through one by one
+                        table[terms] = bits
+                        there = np.bitwise_or.reduce(table[ids[first[:, None] * self.p.block + span]], axis=1)
+                        table[terms] = 0
+                    else:
+                        holders, at = postings
+                        runs = [holders[at[t] : at[t + 1]] for t in terms.tolist()]
+                        # A block has each term once and no two terms share a bit, so the sum is their union.
+                        one = np.bincount(np.concatenate(runs), weights=np.repeat(bits.astype(float), [len(x) for x in runs]), minlength=blocks).astype(np.uint64)
+                        there = one.copy()
+                        for k in range(1, size):
+                            there[:-k] |= one[k:]
+                        there = there[first]
+                    held += np.bitwise_count(there)
+                    answered &= there & answer == answer
+                out[part] = held >= np.where(answered, self.p.near_share, self.p.share) * len(self.bench.words[m])
         return out
 
+    def _postings(self, ids: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """(blocks that hold each term, once each, by term; where each term's begin)."""
+        known, blocks = np.flatnonzero(ids >= 0), len(ids) // self.p.block
+        key = np.sort(ids[known].astype(np.int64) * blocks + known // self.p.block)
+        term, block = np.divmod(key[np.r_[True, key[1:] != key[:-1]][: len(key)]], blocks)
+        return block, np.searchsorted(term, np.arange(len(self.bench.terms) + 1)).tolist()
+
     def _settle(self, ids: np.ndarray, start: int, size: int, m: int, cosine: float, found: dict) -> None:
         passage = self.lists[m]
         window = ids[start * self.p.block : (start + size) * self.p.block]

@@ -398,6 +398,27 @@ def test_lcs():
         assert decontam.lcs(a, b) == t[20, 25]
 
 
+def test_decontamination_filters_windows_by_the_words_they_hold():
+    """Just the windows pass that hold enough of a passage's words, a word as often as the passage has it, however often the window does."""
+    rng = np.random.default_rng(4)
+    p = decontam.DecontamParams()
+    bench = decontam.Bench.build([(k, " ".join(f"w{x}" for x in rng.integers(0, 40, n))) for k, n in enumerate([9, 30, 60, 64])], p)
+    n = len(bench.terms)
+    search = decontam.Search(bench, [np.ones(n), np.zeros(n)], [np.eye(n), np.eye(n)], p)
+    ids = np.where(rng.random(16 * 2000) < 0.6, -1, np.minimum(rng.geometric(0.08, 16 * 2000) - 1, n - 1)).astype(np.int32)
+    ids[:16] = bench.words[0][0]  # one word of the passage, many times
+    for size, many in ((2, 1500), (5, 1500), (5, 20)):
+        begin = np.r_[0, rng.choice(1990, many, replace=False)]
+        passage = rng.integers(0, 4, len(begin))
+        passage[0] = 0
+        got = search._enough(ids, search._postings(ids), begin, size, passage)
+        for start, m, kept in zip(begin.tolist(), passage.tolist(), got.tolist()):
+            there = set(ids[start * 16 : (start + size) * 16].tolist())
+            held = sum(x in there for x in search.lists[m])
+            assert kept == (held >= (p.near_share if search.answers[m] <= there else p.share) * len(search.lists[m]))
+        assert got.any() and not got.all()
+
+
 # ---- language model
 
 
