@@ -8,6 +8,7 @@ depend on the symbol alone, so overlapping windows share them.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,7 +63,7 @@ class Scorer:
         d = shape.width
         self.shape = shape
         self.table = np.concatenate([w["emb"], w["emb"] @ w["wq"] / np.sqrt(d), w["emb"] @ w["wk"], w["emb"] @ w["wv"]], axis=1).astype(np.float32)
-        self.near = distance_bias(w["dist"], shape.block)
+        self.near = np.ascontiguousarray(distance_bias(w["dist"], shape.block).T)
         self.out, self.bias = w["out"], w["bias"]
 
     def __call__(self, symbols: np.ndarray, first: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -75,12 +76,12 @@ class Scorer:
         np.take(self.table, symbols.ravel(), axis=0, out=rows[b:])
         line = 4 * 4 * d
         view = lambda col, start, length: as_strided(rows[start:, col:], (n, length, d), (b * line, line, 4))
-        s = np.matmul(view(d, b, b), view(2 * d, 0, 2 * b).transpose(0, 2, 1))
+        s = np.matmul(view(2 * d, 0, 2 * b), np.ascontiguousarray(view(d, b, b).transpose(0, 2, 1)))  # keys x queries
         s += self.near
-        s[first, :, :b] = MASKED
+        s[first, :b] = MASKED
         np.exp(s, out=s)
-        o = np.matmul(s, view(3 * d, 0, 2 * b))
-        o /= (s.reshape(-1, 2 * b) @ np.ones(2 * b, s.dtype)).reshape(n, b, 1)
+        o = np.matmul(s.transpose(0, 2, 1), view(3 * d, 0, 2 * b))
+        o /= (np.ones(2 * b, s.dtype) @ s).reshape(n, b, 1)
         h = rows[b:, :d].reshape(n * b, d) + o.reshape(n * b, d)
         z = h @ self.out
         z += self.bias
@@ -90,72 +91,112 @@ class Scorer:
 
 
 def gradient(shape: Shape, w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """(mean loss, gradients) on windows of symbols x (batch, 2 * block) and classes: x is a pair (symbols, targets), target < 0 is not scored.
+    """(mean loss, gradients) on windows of symbols x (batch, 2 * block) and classes: x is a pair (symbols, targets), target < 0 is not scored,
+    nor is a window's first block."""
+    sym, tgt = x
+    n, b = len(sym), shape.block
+    return block_gradient(shape, w, sym.reshape(2 * n, b), np.where(np.arange(2 * b) < b, -1, tgt).reshape(2 * n, b))
+
+
+def block_gradient(shape: Shape, w: dict[str, np.ndarray], sym: np.ndarray, tgt: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """(mean loss, gradients) on consecutive blocks of symbols and of target classes: each sees the block before it, and the first, which
+    sees none, is context only. Targets < 0 are not scored.
 
-    Queries, keys and values are looked up in a table of all symbols, as in :class:`Scorer`; sums over short axes are
-    products with ones, and large arrays are changed in place.
+    Keys and values are made once for the two windows that share a block. Attention lies keys x queries, so that no product has its
+    right operand transposed, and stays unnormalised; sums, biases and scales over short axes go into products, and large arrays
+    are changed in place.
     """
-    sym, tgt = x
-    n, b, d, classes = len(sym), shape.block, shape.width, shape.classes
+    n, b, d, classes = len(sym) - 1, shape.block, shape.width, shape.classes
     kind = w["emb"].dtype
     scale = kind.type(1 / np.sqrt(d))
-    table = np.concatenate([w["emb"], w["emb"] @ w["wq"] * scale, w["emb"] @ w["wk"], w["emb"] @ w["wv"]], axis=1)
-    rows = np.take(table, sym.ravel(), axis=0).reshape(n, 2 * b, 4 * d)
-    e, q, k, v = rows[..., :d], rows[:, b:, d : 2 * d], rows[..., 2 * d : 3 * d], rows[..., 3 * d :]
-    a = q @ k.transpose(0, 2, 1)
-    a += distance_bias(w["dist"], b)
-    np.minimum(a, 60, out=a)  # far above any score that occurs; exp stays finite
-    np.exp(a, out=a)
-    a /= (a.reshape(-1, 2 * b) @ np.ones(2 * b, kind)).reshape(n, b, 1)
-    o = (a @ v).reshape(n * b, d)
-    h = e[:, b:].reshape(n * b, d) + o
-    p = h @ w["out"]
-    p += w["bias"]
+    wq = w["wq"] * scale
+    e = np.take(w["emb"], sym.ravel(), axis=0)
+    q = (e[b:] @ wq).reshape(n, b, d)
+    kv = np.empty((len(e), 2 * d + 1), kind)
+    np.matmul(e, np.concatenate([w["wk"], w["wv"]], axis=1), out=kv[:, : 2 * d])
+    kv[:, 2 * d] = 1
+    line, item = kv.strides
+    pairs = as_strided(kv, (n, 2 * b, 2 * d + 1), (b * line, line, item))
+    k, v = pairs[..., :d], pairs[..., d : 2 * d]
+    gap, seen = _gaps(b)
+    near = np.where(seen, w["dist"][gap], kind.type(MASKED)).T.copy()
+    qt = q.transpose(0, 2, 1).copy()
+    a = k @ qt
+    a += near
+    with np.errstate(over="ignore"):
+        np.exp(a, out=a)
+    norm = np.ones(2 * b, kind) @ a
+    if not np.isfinite(norm).all():  # far above any score that occurs; exp stays finite
+        a = np.exp(np.minimum(k @ qt + near, 60))
+        norm = np.ones(2 * b, kind) @ a
+    share = np.broadcast_to((1 / norm).reshape(n * b, 1), (n * b, d)).copy()
+    o = (a.transpose(0, 2, 1) @ v).reshape(n * b, d)
+    o *= share
+    h = np.empty((n * b, d + 1), kind)
+    np.add(e[b:], o, out=h[:, :d])
+    h[:, d] = 1
+    p = np.concatenate([w["out"].T, w["bias"][:, None]], axis=1) @ h.T  # classes x places
     p -= p.max()
-    t = tgt[:, b:].ravel()
+    t = tgt[1:].ravel()
     scored = np.flatnonzero(t >= 0)
     m = max(1, len(scored))
-    at = scored * classes + t[scored]
+    at = t[scored] * (n * b) + scored
     hit = p.ravel()[at]
     np.exp(p, out=p)
-    total = p @ np.ones(classes, kind)
+    total = np.ones(classes, kind) @ p
     loss = float(-(hit - np.log(total[scored])).sum() / m)
     weight = np.zeros(n * b, kind)
     weight[scored] = 1 / m
-    p *= (weight / total)[:, None]
+    p *= weight / total
     p.ravel()[at] -= kind.type(1 / m)  # now the gradient of the logits
-    g = {"out": h.T @ p, "bias": np.ones(n * b, kind) @ p}
-    dh = p @ w["out"].T
-    inner = (dh * o) @ np.ones(d, kind)  # the sum of a * da in each row
-    dh3 = dh.reshape(n, b, d)
-    dv = (a.transpose(0, 2, 1) @ dh3).reshape(-1, d)
-    ds = dh3 @ v.transpose(0, 2, 1)
-    ds -= inner.reshape(n, b, 1)
+    by = h.T @ p.T
+    g = {"out": by[:d], "bias": by[d]}
+    dh = p.T @ w["out"].T.copy()
+    dn = dh * share
+    across = np.empty((n, d + 1, b), kind)  # with the sum of a * da in each row, which the products with the ones take off
+    across[:, :d] = dn.reshape(n, b, d).transpose(0, 2, 1)
+    across[:, d] = -((dn * o) @ np.ones(d, kind)).reshape(n, b)
+    ds = pairs[..., d:] @ across
     ds *= a
-    gap = np.arange(b)[:, None] + b - np.arange(2 * b)[None, :]
-    by_place = (np.ones(n, kind) @ ds.reshape(n, -1)).reshape(b, 2 * b)
-    g["dist"] = np.bincount(gap[gap >= 0], weights=by_place[gap >= 0], minlength=2 * b)[: 2 * b]
-    dq = (ds @ k).reshape(-1, d) * scale
-    dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
-    flat = np.ascontiguousarray(e).reshape(-1, d)
-    g["wq"] = np.ascontiguousarray(e[:, b:]).reshape(-1, d).T @ dq
-    g["wk"], g["wv"] = flat.T @ dk, flat.T @ dv
-    de = dk @ w["wk"].T
-    de += dv @ w["wv"].T
-    de.reshape(n, 2 * b, d)[:, b:] += (dh + dq @ w["wq"].T).reshape(n, b, d)
+    by_place = (np.ones(n, kind) @ ds.reshape(n, -1)).reshape(2 * b, b).T
+    g["dist"] = np.bincount(gap[seen], weights=by_place[seen], minlength=2 * b)
+    dq = (ds.transpose(0, 2, 1) @ k).reshape(n * b, d)
+    dk, dv = _joined(ds @ q), _joined(a @ dn.reshape(n, b, d))
+    g["wq"], g["wk"], g["wv"] = e[b:].T @ dq * scale, e.T @ dk, e.T @ dv
+    de = dk @ w["wk"].T.copy()
+    de += dv @ w["wv"].T.copy()
+    de[b:] += dh
+    de[b:] += dq @ wq.T.copy()
     g["emb"] = _sum_rows(sym.ravel(), de, shape.symbols)
     return loss, g
 
 
+@functools.cache
+def _gaps(block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, whether not a later key) by query and key."""
+    gap = np.arange(block)[:, None] + block - np.arange(2 * block)[None, :]
+    return np.maximum(gap, 0), gap >= 0
+
+
+def _joined(x: np.ndarray) -> np.ndarray:
+    """Rows for each block from windows x (2 * block) x width: what the two windows that share a block have for it, added up."""
+    n, length, d = x.shape
+    halves, out = x.reshape(n, 2, -1), np.empty((n + 1, length // 2 * d), x.dtype)
+    out[0] = 0
+    out[1:] = halves[:, 1]
+    out[:-1] += halves[:, 0]
+    return out.reshape(-1, d)
+
+
+@functools.cache
+def _places(size: int, width: int) -> np.ndarray:
+    return np.arange(size * width).reshape(size, width)
+
+
 def _sum_rows(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows of each index, ``size`` x width."""
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
-    if len(index):
-        order = np.argsort(index.astype(np.uint16 if size <= 1 << 16 else np.int64), kind="stable")  # short integers sort by radix
-        sorted_index = index[order]
-        start = np.flatnonzero(np.r_[True, sorted_index[1:] != sorted_index[:-1]])
-        out[sorted_index[start]] = np.add.reduceat(np.take(rows, order, axis=0), start, axis=0)
-    return out
+    at = np.take(_places(size, rows.shape[1]), index, axis=0).ravel()
+    return np.bincount(at, weights=rows.ravel(), minlength=size * rows.shape[1]).reshape(size, -1)
 
 
 class Adam:
@@ -182,12 +223,21 @@ class Adam:
         self.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / far
 
 
+RUN = 16  #: blocks that stay together in a batch, behind the one before them
+
+
 def train(shape: Shape, w: dict[str, np.ndarray], symbols: np.ndarray, targets: np.ndarray, rate: float, epochs: int = 1, batch: int = 128, seed: int = 0) -> dict[str, np.ndarray]:
-    """Adam over shuffled batches of windows."""
+    """Adam over shuffled batches of runs of consecutive blocks; the first block is context only, and so is any without targets."""
     keep_heap()
     opt, rng = Adam(shape, w, rate), np.random.default_rng(seed)
+    starts, span = np.arange(0, len(symbols) - 1, RUN), np.arange(RUN + 1)
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(symbols)), max(1, len(symbols) // batch)):
+        for part in np.array_split(rng.permutation(starts), max(1, len(starts) * RUN // batch)):
             if len(part):
-                opt.step(gradient(shape, opt.w, (symbols[part], targets[part]))[1])
+                at = (part[:, None] + span).ravel()
+                lead = np.tile(span == 0, len(part)) | (at >= len(symbols))
+                at[at >= len(symbols)] = 0
+                t = targets[at]
+                t[lead] = -1  # scored in the run before
+                opt.step(block_gradient(shape, opt.w, symbols[at], t)[1])
     return opt.w

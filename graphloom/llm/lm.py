@@ -11,9 +11,10 @@ only the others shuffle to meet their counts, so neither the vocabulary nor a fr
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -131,18 +132,85 @@ def class_of_ids(counts: np.ndarray, pieces: list[bytes], bands: int) -> np.ndar
     return np.unique(out, return_inverse=True)[1]
 
 
+class Pieces:
+    """Ids of many words at once, each encoded as behind a blank."""
+
+    def __init__(self, encode: Encoder) -> None:
+        self.encode = encode
+        self.begins = np.array([encode.piece(k)[:1] == b" " for k in range(VOCABULARY - 1)])
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, index of the word of each); empty words have none. Words that hold no white space of any kind are encoded
+        together: none but the first piece of each begins with a blank."""
+        plain = [k for k, w in enumerate(words) if w.split() == [w]]
+        ids = np.array(self.encode(" " + " ".join([words[k] for k in plain])) if plain else [], np.int32)
+        at = np.flatnonzero(self.begins[ids])
+        owner = np.repeat(np.array(plain, np.int64), np.diff(np.r_[at, len(ids)]))
+        if len(plain) < len(words):
+            for k in sorted(set(range(len(words))) - set(plain)):
+                if words[k]:
+                    more = self.encode(" " + words[k])
+                    ids, owner = np.r_[ids, np.array(more, np.int32)], np.r_[owner, np.full(len(more), k)]
+        return ids, owner
+
+
+class WordIds:
+    """Ids of many texts at once. A word's ids are looked up once and kept, up to ``limit`` words; a text in which Unicode white
+    space is part of a word, where pieces may reach across words, is encoded whole."""
+
+    def __init__(self, encode: Encoder, limit: int = 1 << 18, score: Callable[[str, float], float] | None = None) -> None:
+        self.pieces, self.limit, self.score = Pieces(encode), limit, score
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.flat, self.start, self.length, self.scores = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def _learn(self, new: list[str]) -> None:
+        ids, owner = self.pieces([w if w.split() == [w] else "" for w in new])
+        length = np.bincount(owner, minlength=len(new))
+        self.start = np.r_[self.start, np.cumsum(length) - length + len(self.flat)]
+        self.flat, self.length = np.r_[self.flat, ids], np.r_[self.length, np.where(length, length, -1)]
+        if self.score:
+            self.scores = np.r_[self.scores, np.array([self.score(w, np.nan) for w in new])]
+
+    def numbers(self, texts: list[list[str]]) -> np.ndarray:
+        """The number of each word, by which :attr:`scores` has what ``score`` says of it, or nan."""
+        if len(self.number) > self.limit:
+            self._clear()
+        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        if fresh := len(self.number) - len(self.length):
+            self._learn([*islice(reversed(self.number), fresh)][::-1])
+        return words
+
+    def __call__(self, texts: list[list[str]], words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); ``texts`` are lists of words, ``words`` their numbers."""
+        words = self.numbers(texts) if words is None else words
+        lengths, ends = self.length[words], np.cumsum([0, *map(len, texts)])
+        whole = np.add.reduceat(np.r_[lengths < 0, False], ends[:-1]) * (np.diff(ends) > 0) if len(texts) else np.empty(0)
+        lengths = np.maximum(lengths, 0)
+        begin = np.r_[0, np.cumsum(lengths)]
+        ids = self.flat[np.repeat(self.start[words] - begin[:-1], lengths) + np.arange(begin[-1])]
+        at = begin[ends]
+        if not whole.any():
+            return ids, np.diff(at)
+        parts = [ids[a:b] if not odd else np.array(self.pieces.encode(" " + " ".join(t)), np.int32) for a, b, odd, t in zip(at, at[1:], whole, texts)]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+
 def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     """Count of each subword in all training texts, from the words' counts; a row for each id comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Encoder(path), np.zeros(VOCABULARY)
+        pieces, total = Pieces(Encoder(path)), np.zeros(VOCABULARY)
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if w == END:
-                    total[END_ID] += c
-                else:
-                    for k in encode(" " + w):
-                        total[k] += c
+            words, times = b.column(0).to_pylist(), b.column(1).to_numpy()
+            if END in words:
+                at = words.index(END)
+                total[END_ID] += times[at]
+                words[at] = ""
+            ids, owner = pieces(words)
+            total += np.bincount(ids, weights=times[owner], minlength=VOCABULARY)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["k", "c"])
 
@@ -157,13 +225,12 @@ def subword_pairs(words: DataFrame, classes: np.ndarray, path: str) -> np.ndarra
     k = int(classes.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Encoder(path), np.zeros((k, VOCABULARY))
+        pieces, total = Pieces(Encoder(path)), np.zeros((k, VOCABULARY))
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if w != END:
-                    ids = encode(" " + w)
-                    for x, y in zip(ids, ids[1:]):
-                        total[classes[x], y] += c
+            ids, owner = pieces([w if w != END else "" for w in b.column(0).to_pylist()])
+            first = np.flatnonzero(owner[:-1] == owner[1:])
+            pair, which = np.unique(classes[ids[first]] * VOCABULARY + ids[first + 1], return_inverse=True)
+            total.ravel()[pair] += np.bincount(which, weights=b.column(1).to_numpy()[owner[first]], minlength=len(pair))
         at = np.flatnonzero(total)
         for s in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 50_000]), pa.array(total.ravel()[at[s : s + 50_000]])], ["k", "c"])
@@ -177,51 +244,39 @@ def subword_pairs(words: DataFrame, classes: np.ndarray, path: str) -> np.ndarra
 # ---- the network's weights
 
 
-def windows(texts: list[str], seeds: list[int], sub: Subwords, encode: Encoder, p: LmParams) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, target classes) of one stretch of each text, in windows of two blocks; the start of the weights."""
+def blocks_of(ids: np.ndarray, counts: np.ndarray, sub: Subwords, open_ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, target classes) of texts given as in :class:`WordIds`, in blocks; before each text stands a block of ends, which
+    is context only. Every subword and every end is a target once, but for the ends of ``open_ends``."""
     b = sub.shape.block
-    xs, ys = [], []
+    blocks = -(-(counts + 1) // b) + 1
+    start = (np.cumsum(blocks) - blocks + 1) * b  # of each text, behind its block of ends
+    at = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+    x = np.full(int(blocks.sum()) * b, sub.symbol[END_ID], np.int32)
+    y = np.full(len(x), -1, np.int64)
+    x[at + 1] = sub.symbol[ids]  # never past the text's blocks, which have room for the end too
+    y[at], y[start + counts] = sub.cls[ids], sub.cls[END_ID]
+    if open_ends is not None:
+        y[(start + counts)[open_ends]] = -1
+    return x.reshape(-1, b), y.reshape(-1, b)
+
+
+def stretches(texts: list[str], seeds: list[int], sub: Subwords, encode: Encoder, p: LmParams) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of one stretch of each text; the start of the weights."""
+    pieces, opens = [], []
     for t, seed in zip(texts, seeds):
         start = seed % max(1, len(t) - p.window_chars) if len(t) > p.window_chars else 0
         piece = words_of(t[start : start + p.window_chars])
         piece = piece[1:] if start else piece
-        if not piece:
-            continue
-        ids = np.array([END_ID, *encode(" " + " ".join(piece)), END_ID])
-        last = len(ids) - 1 if start + p.window_chars >= len(t) else len(ids) - 2  # the end counts only where the text ends
-        x, y = sub.symbol[ids[:-1]], sub.cls[ids[1:]].astype(np.int64)
-        y[last:] = -1
-        for s in range(0, len(x), b):
-            row, tgt = np.full(2 * b, sub.symbol[END_ID]), np.full(2 * b, -1)
-            lo = max(0, s - b)
-            row[b - (s - lo) : b] = x[lo:s]
-            n = min(b, len(x) - s)
-            row[b : b + n] = x[s : s + n]
-            tgt[b : b + n] = y[s : s + n]
-            xs.append(row)
-            ys.append(tgt)
-    if not xs:
-        return np.empty((0, 2 * b), np.int64), np.empty((0, 2 * b), np.int64)
-    return np.array(xs), np.array(ys)
-
-
-def all_windows(texts: list[str], sub: Subwords, encode: Encoder) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, target classes) of whole texts, in windows of two blocks: every subword and every end is a target once."""
-    b = sub.shape.block
-    xs, ys = [np.empty((0, 2 * b), np.int64)], [np.empty((0, 2 * b), np.int64)]
-    for t in texts:
-        words = words_of(t)
-        ids = np.array([END_ID, *(encode(" " + " ".join(words)) if words else []), END_ID])
-        n = -(-(len(ids) - 1) // b)
-        x, y = np.full((n + 1) * b, sub.symbol[END_ID], np.int64), np.full((n, 2 * b), -1, np.int64)
-        x[b : b + len(ids) - 1] = sub.symbol[ids[:-1]]
-        x = x.reshape(n + 1, b)
-        tgt = np.full(n * b, -1, np.int64)
-        tgt[: len(ids) - 1] = sub.cls[ids[1:]]
-        y[:, b:] = tgt.reshape(n, b)
-        xs.append(np.concatenate([x[:-1], x[1:]], axis=1))
-        ys.append(y)
-    return np.concatenate(xs), np.concatenate(ys)
+        if piece:
+            pieces.append(piece)
+            opens.append(start + p.window_chars < len(t))  # the end counts only where the text ends
+    return blocks_of(*WordIds(encode)(pieces), sub, np.array(opens, bool))
+
+
+def all_windows(texts: list[str], sub: Subwords, encode: Encoder | WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, target classes) of whole texts, in blocks as :func:`blocks_of` lays them; with the block before, each is a window."""
+    ids = encode if isinstance(encode, WordIds) else WordIds(encode)
+    return blocks_of(*ids([words_of(t) for t in texts]), sub)
 
 
 def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np.ndarray]:
@@ -233,11 +288,11 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
     some = rows.filter(F.col("seed") % share == 0).select("seed", F.substring("text", 1, 4 * p.window_chars).alias("text")).limit(2 * p.warm_documents).collect()
     encode = Encoder(path)
     some_texts = [(r["text"] or "").encode().lower().decode() for r in some]
-    x, y = windows(some_texts, [r["seed"] for r in some], sub, encode, p)
+    x, y = stretches(some_texts, [r["seed"] for r in some], sub, encode, p)
     w = train(shape, shape.init(), x, y, p.rate, p.warm_epochs) if len(x) else shape.init()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, now, seen = Encoder(path), w, 0
+        encode, now, seen = WordIds(Encoder(path)), w, 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -245,7 +300,7 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
             nonlocal now, seen, held, count
             xs, ys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             now = train(shape, now, xs, ys, p.rate / 5)
-            seen, held, count = seen + len(xs), [], 0
+            seen, held, count = seen + int((ys >= 0).any(axis=1).sum()), [], 0
 
         for b in batches:
             for part in slices(b, 0, 1 << 20):
@@ -274,31 +329,25 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
 class TextScorer:
     """log10 probabilities of texts, many at a time."""
 
-    def __init__(self, sub: Subwords, weights: dict[str, np.ndarray], path: str, blocks: int = 400) -> None:
-        self.sub, self.scorer, self.encode, self.blocks = sub, Scorer(sub.shape, weights), Encoder(path), blocks
+    def __init__(self, sub: Subwords, weights: dict[str, np.ndarray], path: str, blocks: int = 400, score: Callable[[str, float], float] | None = None) -> None:
+        self.sub, self.scorer, self.encode, self.blocks = sub, Scorer(sub.shape, weights), WordIds(Encoder(path), score=score), blocks
 
-    def __call__(self, texts: list[list[str]]) -> np.ndarray:
-        """``texts`` are lists of words."""
+    def __call__(self, texts: list[list[str]], words: np.ndarray | None = None) -> np.ndarray:
+        """``texts`` are lists of words, ``words`` their numbers."""
         b, sub = self.sub.shape.block, self.sub
-        ids, owner, first = [], [], []
-        for k, words in enumerate(texts):
-            got = self.encode(" " + " ".join(words)) if words else []
-            n = len(got) + 1
-            blocks = -(-n // b)
-            line = np.full(blocks * b + 1, -1, np.int64)
-            line[0] = END_ID
-            line[1:n] = got
-            line[n] = END_ID
-            ids.append(line)
-            owner.append(np.full(blocks, k))
-            mark = np.zeros(blocks, bool)
-            mark[0] = True
-            first.append(mark)
-        if not ids:
+        if not texts:
             return np.empty(0)
-        prev = np.concatenate([x[:-1] for x in ids]).reshape(-1, b)
-        cur = np.concatenate([x[1:] for x in ids]).reshape(-1, b)
-        owner, first = np.concatenate(owner), np.concatenate(first)
+        ids, counts = self.encode(texts, words)
+        blocks = -(-(counts + 1) // b)
+        start = (np.cumsum(blocks) - blocks) * b
+        at = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
+        prev = np.full(int(blocks.sum()) * b, -1, np.int32)
+        cur = prev.copy()
+        prev[start], prev[at + 1] = END_ID, ids
+        cur[at], cur[start + counts] = ids, END_ID
+        prev, cur = prev.reshape(-1, b), cur.reshape(-1, b)
+        owner, first = np.repeat(np.arange(len(texts)), blocks), np.zeros(len(cur), bool)
+        first[start // b] = True
         total = np.zeros(len(texts))
         for s in range(0, len(prev), self.blocks):
             x, y = prev[s : s + self.blocks], cur[s : s + self.blocks]
@@ -345,24 +394,27 @@ def score_documents(docs: DataFrame, p: LmParams = LmParams(), doc_id: str = "do
     end_log = log(ends)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, table = TextScorer(*model.value, p.vocabulary), known.value
-        get, nothing = table.get, None
+        scorer = TextScorer(*model.value, p.vocabulary, score=known.value.get)
         uid = TaskContext.get().partitionId() << 40
         names = ["word", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "times"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
         for b in batches:
             for part in slices(b, 2, 2 << 20):
                 words = [words_of(t) for t in lowered(part.column(2))]
-                scores = scorer(words).tolist()
+                numbers, edges = scorer.encode.numbers(words), np.cumsum([0, *map(len, words)])
+                scores = scorer(words, numbers).tolist()
+                logs = scorer.encode.scores[numbers]
+                unknown, owner = np.isnan(logs), np.repeat(np.arange(len(words)), np.diff(edges))
+                base = np.bincount(owner, weights=np.where(unknown, 0, logs), minlength=len(words)).tolist()
+                rest = defaultdict(list)
+                for k, at in zip(owner[unknown].tolist(), (np.flatnonzero(unknown) - edges[owner[unknown]]).tolist()):
+                    rest[k].append(words[k][at])
                 out: list[tuple] = []
-                for doc, held, ws, score in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words, scores):
+                for k, (doc, held, ws, score) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words, scores)):
                     uid += 1
-                    logs = list(map(get, ws))
-                    there = [x for x in logs if x is not nothing]
-                    out.append((f" {uid}", uid, doc, held, len(ws) + 1, len(there) + (ends > 0), sum(there) + end_log, score, None))
-                    if len(there) < len(ws):
-                        rest = Counter(w for w, x in zip(ws, logs) if x is nothing)
-                        out.extend((w, uid, None, None, None, None, None, None, c) for w, c in rest.items())
+                    out.append((f" {uid}", uid, doc, held, len(ws) + 1, len(ws) - len(rest.get(k, ())) + (ends > 0), base[k] + end_log, score, None))
+                    if k in rest:
+                        out.extend((w, uid, None, None, None, None, None, None, c) for w, c in Counter(rest[k]).items())
                     if len(out) > 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                         out = []

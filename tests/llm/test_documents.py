@@ -458,6 +458,44 @@ def test_lm_learns_from_whole_texts(spark):
     assert np.abs(weights("red blue " * 50) - weights("cat 1234 " * 50)).max() > 1e-4
 
 
+def test_lm_ids_of_many_texts_equal_those_of_each():
+    """Words whose ids are kept give the ids of the whole text, whatever white space is part of a word; so do the words one by one."""
+    encode = lm.Encoder("")
+    rng = np.random.default_rng(2)
+    alphabet = list("abst'12.,é中 \x1c\x85\u3000") + ["'s", " the", "ll", "\u00a0 "]
+    texts = [lm.words_of("".join(rng.choice(alphabet, n))) for n in [0, 1, *rng.integers(2, 60, 400), 0]]
+    want = [encode(" " + " ".join(t)) if t else [] for t in texts]
+    ids = lm.WordIds(encode, limit=50)
+    for k in range(0, len(texts), 40):  # what is kept is thrown away in between
+        got, counts = ids(texts[k : k + 40])
+        assert got.tolist() == [x for w in want[k : k + 40] for x in w] and counts.tolist() == [len(w) for w in want[k : k + 40]]
+    words = sorted({w for t in texts for w in t})
+    got, owner = lm.Pieces(encode)(words)
+    assert all(got[owner == k].tolist() == encode(" " + w) for k, w in enumerate(words))
+
+
+def test_attention_trains_on_each_block_once():
+    """Blocks that share their keys have the gradient of the windows they make, also where scores are too high for exp; a run's targets are scored once."""
+    from graphloom.llm import attention
+    from graphloom.llm.attention import NAMES, Shape, block_gradient, gradient
+
+    s = Shape(12, 5, width=4, block=4)
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 12, (40, 4)), rng.integers(-1, 5, (40, 4))
+    for more in (0, 800):
+        w = {k: v.astype(np.float64) + (more if k == "dist" else 0) for k, v in s.init(1).items()}
+        loss, g = block_gradient(s, w, x, y)
+        plain, h = gradient(s, w, (np.concatenate([x[:-1], x[1:]], axis=1), np.concatenate([y[:-1], y[1:]], axis=1)))
+        assert np.isclose(loss, plain) and all(np.isfinite(g[k]).all() and np.allclose(g[k], h[k]) for k in NAMES)
+    seen, step = [], attention.block_gradient
+    try:
+        attention.block_gradient = lambda *a: (seen.append(int((a[3] >= 0).sum())), step(*a))[1]
+        attention.train(s, s.init(1), x, y, 0.01, batch=16)
+    finally:
+        attention.block_gradient = step
+    assert len(seen) > 1 and sum(seen) == (y[1:] >= 0).sum()
+
+
 def test_attention_gradient_and_batches():
     from graphloom.llm.attention import NAMES, Scorer, Shape, gradient
 
