@@ -73,9 +73,9 @@ class Scorer:
         n = len(symbols)
         rows = np.empty(((n + 1) * b, 4 * d), np.float32)
         rows[:b] = 0
-        np.take(self.table, symbols.ravel(), axis=0, out=rows[b:])
+        np.take(self.table, symbols.ravel(), axis=0, out=rows[b:], mode="clip")  # else numpy makes a second copy
         line = 4 * 4 * d
-        view = lambda col, start, length: as_strided(rows[start:, col:], (n, length, d), (b * line, line, 4))
+        view = lambda col, start, length: np.ndarray((n, length, d), rows.dtype, rows, start * line + 4 * col, (b * line, line, 4))
         s = np.matmul(view(2 * d, 0, 2 * b), np.ascontiguousarray(view(d, b, b).transpose(0, 2, 1)))  # keys x queries
         s += self.near
         s[first, :b] = MASKED
@@ -84,10 +84,9 @@ class Scorer:
         o /= (np.ones(2 * b, s.dtype) @ s).reshape(n, b, 1)
         h = rows[b:, :d].reshape(n * b, d) + o.reshape(n * b, d)
         z = h @ self.out
-        z += self.bias
-        hit = z[np.arange(n * b), targets.ravel()]
+        hit = z[np.arange(n * b), targets.ravel()] + self.bias[targets.ravel()]
         np.exp(z, out=z)
-        return (hit - np.log(z @ np.ones(self.shape.classes, z.dtype))).reshape(n, b)
+        return (hit - np.log(z @ np.exp(self.bias))).reshape(n, b)
 
 
 def gradient(shape: Shape, w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -98,9 +97,9 @@ def gradient(shape: Shape, w: dict[str, np.ndarray], x: np.ndarray) -> tuple[flo
     return block_gradient(shape, w, sym.reshape(2 * n, b), np.where(np.arange(2 * b) < b, -1, tgt).reshape(2 * n, b))
 
 
-def block_gradient(shape: Shape, w: dict[str, np.ndarray], sym: np.ndarray, tgt: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def block_gradient(shape: Shape, w: dict[str, np.ndarray], sym: np.ndarray, tgt: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
     """(mean loss, gradients) on consecutive blocks of symbols and of target classes: each sees the block before it, and the first, which
-    sees none, is context only. Targets < 0 are not scored.
+    sees none, is context only. Targets < 0 are not scored. Without ``with_loss`` the loss is nan.
 
     Keys and values are made once for the two windows that share a block. Attention lies keys x queries, so that no product has its
     right operand transposed, and stays unnormalised; sums, biases and scales over short axes go into products, and large arrays
@@ -129,27 +128,28 @@ def block_gradient(shape: Shape, w: dict[str, np.ndarray], sym: np.ndarray, tgt:
     if not np.isfinite(norm).all():  # far above any score that occurs; exp stays finite
         a = np.exp(np.minimum(k @ qt + near, 60))
         norm = np.ones(2 * b, kind) @ a
-    share = np.broadcast_to((1 / norm).reshape(n * b, 1), (n * b, d)).copy()
+    share = np.repeat((1 / norm).ravel(), d).reshape(n * b, d)
     o = (a.transpose(0, 2, 1) @ v).reshape(n * b, d)
     o *= share
     h = np.empty((n * b, d + 1), kind)
     np.add(e[b:], o, out=h[:, :d])
     h[:, d] = 1
     p = np.concatenate([w["out"].T, w["bias"][:, None]], axis=1) @ h.T  # classes x places
-    p -= p.max()
+    if not 0 <= (top := p.max()) < 60:
+        p -= top
     t = tgt[1:].ravel()
     scored = np.flatnonzero(t >= 0)
     m = max(1, len(scored))
     at = t[scored] * (n * b) + scored
-    hit = p.ravel()[at]
+    hit = p.ravel()[at] if with_loss else None
     np.exp(p, out=p)
     total = np.ones(classes, kind) @ p
-    loss = float(-(hit - np.log(total[scored])).sum() / m)
+    loss = float(-(hit - np.log(total[scored])).sum() / m) if with_loss else np.nan
     weight = np.zeros(n * b, kind)
     weight[scored] = 1 / m
     p *= weight / total
     p.ravel()[at] -= kind.type(1 / m)  # now the gradient of the logits
-    by = h.T @ p.T
+    by = (p @ h).T
     g = {"out": by[:d], "bias": by[d]}
     dh = p.T @ w["out"].T.copy()
     dn = dh * share
@@ -205,7 +205,7 @@ class Adam:
     def __init__(self, shape: Shape, w: dict[str, np.ndarray], rate: float) -> None:
         self.rate, self.t = rate, 0
         self.flat = shape.pack(w).astype(np.float32)
-        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.m, self.v, self.x, self.y = (np.zeros_like(self.flat) for _ in range(4))
         self.w, at = {}, 0
         for k, size in shape.sizes().items():
             n = int(np.prod(size))
@@ -214,13 +214,21 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        x = np.concatenate([g[k].ravel() for k in NAMES]).astype(np.float32, copy=False)
-        self.m += 0.1 * (x - self.m)
+        x, y = self.x, self.y
+        np.concatenate([g[k].ravel() for k in NAMES], out=x, casting="same_kind")
+        np.subtract(x, self.m, out=y)
+        y *= 0.1
+        self.m += y
         x *= x
-        self.v += 0.01 * (x - self.v)
-        far = np.sqrt(self.v / (1 - 0.99**self.t))
-        far += 1e-8
-        self.flat -= self.rate * (self.m / (1 - 0.9**self.t)) / far
+        x -= self.v
+        x *= 0.01
+        self.v += x
+        np.multiply(self.v, 1 / (1 - 0.99**self.t), out=x)
+        np.sqrt(x, out=x)
+        x += 1e-8
+        np.multiply(self.m, self.rate / (1 - 0.9**self.t), out=y)
+        y /= x
+        self.flat -= y
 
 
 RUN = 16  #: blocks that stay together in a batch, behind the one before them
@@ -239,5 +247,5 @@ def train(shape: Shape, w: dict[str, np.ndarray], symbols: np.ndarray, targets:
                 at[at >= len(symbols)] = 0
                 t = targets[at]
                 t[lead] = -1  # scored in the run before
-                opt.step(block_gradient(shape, opt.w, symbols[at], t)[1])
+                opt.step(block_gradient(shape, opt.w, symbols[at], t, False)[1])
     return opt.w

@@ -5,26 +5,27 @@ next subword from its window; inside its class a subword's probability follows c
 documents. Windows of two blocks overlap by one, so every subword is scored once and the score is the log10
 probability of the text. Beside it stands a unigram word score whose counts also cover all training documents.
 
-Word counts are grouped by word. The most frequent words, a fixed number, travel as a dictionary and are summed up in place;
+Word counts are grouped by word. The most frequent words, a fixed number, travel with their ids and counts and are summed up in place;
 only the others shuffle to meet their counts, so neither the vocabulary nor a frequent word ends up in one place.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.lineage import parquet_cut
 from graphloom.llm.attention import Scorer, Shape, train
-from graphloom.llm.common import lowered, read, slices, tidy, words_of
+from graphloom.llm.common import read, slices, tidy, words_of
 from graphloom.llm.packing import Encoder
 
 END = " "  #: stands for the end of a text among words, which never hold a blank
@@ -51,30 +52,109 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)) == 0
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which outlives its tasks."""
+    return Encoder(path)
+
+
+# ---- words
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words of many texts as numbers: ``codes`` are places in ``distinct``, one for each word of each text in turn."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    edges: np.ndarray  #: where each text begins among the codes, and the end of the last
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Words:
+        """The words of texts whose A-Z are lowered first; null is empty. Arrow cuts at the same six characters as :func:`words_of`,
+        and leaves an empty word where a text begins or ends with them."""
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+        coded = cut.flatten().dictionary_encode()
+        codes, edges = coded.indices.to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]
+        if (empty := pc.index(coded.dictionary, "").as_py()) >= 0:
+            kept = codes != empty
+            codes, edges = codes[kept], np.r_[0, np.cumsum(kept)][edges]
+        return cls(coded.dictionary.cast(pa.string()), codes, edges)
+
+    @classmethod
+    def listed(cls, texts: list[list[str]]) -> Words:
+        """The same from lists of words."""
+        coded = pa.array(chain.from_iterable(texts), pa.string()).dictionary_encode()
+        return cls(coded.dictionary, coded.indices.to_numpy(), np.cumsum([0, *map(len, texts)]))
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.edges)
+
+    def parts(self, sizes: list[int]) -> Iterator[Words]:
+        """The words of runs of so many texts."""
+        at = 0
+        for n in sizes:
+            edges = self.edges[at : at + n + 1]
+            yield Words(self.distinct, self.codes[edges[0] : edges[-1]], edges - edges[0])
+            at += n
+
+
+def grouped(parts: Iterator[pa.RecordBatch], text_index: int, limit: int = 8 << 20) -> Iterator[tuple[list[pa.RecordBatch], Words]]:
+    """Runs of batches of at most ``limit`` bytes of text (one batch at least), with the words of all their texts."""
+
+    def done() -> tuple[list[pa.RecordBatch], Words]:
+        return held, Words.of(pa.concat_arrays([x.column(text_index) for x in held]))
+
+    held, total = [], 0
+    for part in parts:
+        n = part.column(text_index).nbytes
+        if held and total + n > limit:
+            yield done()
+            held, total = [], 0
+        held.append(part)
+        total += n
+    if held:
+        yield done()
+
+
+def strings(words: pa.Array) -> list[str]:
+    """Words as a list; decoded as one text unless the end is among them, which is faster than one by one."""
+    if not len(words) or pc.index(words, END).as_py() >= 0:
+        return words.to_pylist()
+    return pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), " ")[0].as_py().split(" ")
+
+
 # ---- counts
 
 
 def word_counts(rows: DataFrame, limit: int = 400_000) -> DataFrame:
     """(word, c) over all texts, ends included. Each task hands out sums whenever it holds ``limit`` words."""
 
-    def flush(c: Counter) -> Iterator[pa.RecordBatch]:
-        items = list(c.items())
-        for k in range(0, len(items), 50_000):
-            words, counts = zip(*items[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "c"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        held: list[pa.Table] = []
+        size = ends = 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+
         for b in batches:
             for part in slices(b, 0):
-                for t in lowered(part.column(0)):
-                    c.update(words_of(t))
-                c[END] += part.num_rows
-                if len(c) > limit:
-                    yield from flush(c)
-                    c = Counter()
-        if c:
-            yield from flush(c)
+                words = Words.of(part.column(0))
+                found = np.bincount(words.codes, minlength=len(words.distinct))
+                used = np.flatnonzero(found)  # all but the empty word
+                held.append(pa.table([words.distinct.take(pa.array(used)), pa.array(found[used])], ["word", "c"]))
+                size, ends = size + len(used), ends + part.num_rows
+                if size > 2 * limit:
+                    held = [summed()]
+                    size = held[0].num_rows
+                if size > limit and len(held) == 1:
+                    yield from held[0].to_batches(50_000)
+                    held, size = [], 0
+        if ends:
+            held.append(pa.table([pa.array([END]), pa.array([ends])], ["word", "c"]))
+            yield from summed().to_batches(50_000)
+        tidy()
 
     return rows.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -132,20 +212,36 @@ def class_of_ids(counts: np.ndarray, pieces: list[bytes], bands: int) -> np.ndar
     return np.unique(out, return_inverse=True)[1]
 
 
+def plain_words(words: list[str]) -> list[int]:
+    """Places of the words, none empty, that hold no white space of any kind."""
+    if " ".join(words).split() == words:
+        return [*range(len(words))]
+    return [k for k, w in enumerate(words) if w.split() == [w]]
+
+
+@functools.lru_cache(1)
+def begins(encode: Encoder) -> np.ndarray:
+    """Which ids begin with a blank."""
+    return np.array([encode.piece(k)[:1] == b" " for k in range(VOCABULARY - 1)])
+
+
 class Pieces:
     """Ids of many words at once, each encoded as behind a blank."""
 
     def __init__(self, encode: Encoder) -> None:
-        self.encode = encode
-        self.begins = np.array([encode.piece(k)[:1] == b" " for k in range(VOCABULARY - 1)])
+        self.encode, self.begins = encode, begins(encode)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, index of the word of each); empty words have none. Words that hold no white space of any kind are encoded
-        together: none but the first piece of each begins with a blank."""
-        plain = [k for k, w in enumerate(words) if w.split() == [w]]
-        ids = np.array(self.encode(" " + " ".join([words[k] for k in plain])) if plain else [], np.int32)
+    def together(self, words: list[str], plain: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, index of the word of each) of the words at ``plain``, encoded together: as they hold no white space, none but the
+        first piece of each begins with a blank."""
+        ids = np.array(self.encode(" " + " ".join(words if len(plain) == len(words) else [words[k] for k in plain])) if plain else [], np.int32)
         at = np.flatnonzero(self.begins[ids])
-        owner = np.repeat(np.array(plain, np.int64), np.diff(np.r_[at, len(ids)]))
+        return ids, np.repeat(np.array(plain, np.int64), np.diff(np.r_[at, len(ids)]))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, index of the word of each); empty words have none."""
+        plain = plain_words(words)
+        ids, owner = self.together(words, plain)
         if len(plain) < len(words):
             for k in sorted(set(range(len(words))) - set(plain)):
                 if words[k]:
@@ -154,47 +250,62 @@ class Pieces:
         return ids, owner
 
 
+@dataclass(frozen=True)
+class Coded:
+    """Ids of words: ``length`` of them from ``start`` in ``flat``; -1 of them for words that hold Unicode white space."""
+
+    words: pa.Array
+    flat: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, pieces: Pieces) -> Coded:
+        listed = strings(words)
+        flat, owner = pieces.together(listed, plain_words(listed))
+        length = np.bincount(owner, minlength=len(listed))
+        return cls(words, flat, np.cumsum(length) - length, np.where(length, length, -1))
+
+    def __add__(self, more: Coded) -> Coded:
+        return Coded(pa.concat_arrays([self.words, more.words]), np.r_[self.flat, more.flat], np.r_[self.start, more.start + len(self.flat)], np.r_[self.length, more.length])
+
+
+NONE = Coded(pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
 class WordIds:
-    """Ids of many texts at once. A word's ids are looked up once and kept, up to ``limit`` words; a text in which Unicode white
-    space is part of a word, where pieces may reach across words, is encoded whole."""
-
-    def __init__(self, encode: Encoder, limit: int = 1 << 18, score: Callable[[str, float], float] | None = None) -> None:
-        self.pieces, self.limit, self.score = Pieces(encode), limit, score
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict(count().__next__)
-        self.flat, self.start, self.length, self.scores = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-
-    def _learn(self, new: list[str]) -> None:
-        ids, owner = self.pieces([w if w.split() == [w] else "" for w in new])
-        length = np.bincount(owner, minlength=len(new))
-        self.start = np.r_[self.start, np.cumsum(length) - length + len(self.flat)]
-        self.flat, self.length = np.r_[self.flat, ids], np.r_[self.length, np.where(length, length, -1)]
-        if self.score:
-            self.scores = np.r_[self.scores, np.array([self.score(w, np.nan) for w in new])]
-
-    def numbers(self, texts: list[list[str]]) -> np.ndarray:
-        """The number of each word, by which :attr:`scores` has what ``score`` says of it, or nan."""
-        if len(self.number) > self.limit:
-            self._clear()
-        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        if fresh := len(self.number) - len(self.length):
-            self._learn([*islice(reversed(self.number), fresh)][::-1])
-        return words
-
-    def __call__(self, texts: list[list[str]], words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has); ``texts`` are lists of words, ``words`` their numbers."""
-        words = self.numbers(texts) if words is None else words
-        lengths, ends = self.length[words], np.cumsum([0, *map(len, texts)])
-        whole = np.add.reduceat(np.r_[lengths < 0, False], ends[:-1]) * (np.diff(ends) > 0) if len(texts) else np.empty(0)
+    """Ids of many texts at once. Those of ``head`` are given, other words' ids are looked up once and kept, up to ``limit`` words; a
+    text in which Unicode white space is part of a word, where pieces may reach across words, is encoded whole."""
+
+    def __init__(self, encode: Encoder, limit: int = 1 << 18, head: Coded = NONE) -> None:
+        self.pieces, self.limit, self.head, self.known = Pieces(encode), limit, head, head
+
+    def numbers(self, texts: Words) -> np.ndarray:
+        """The number of each distinct word; words of the head have their places there."""
+        if len(self.known.words) > len(self.head.words) + self.limit:
+            self.known = self.head
+        numbers = pc.index_in(texts.distinct, value_set=self.known.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = len(self.known.words) + np.arange(len(new))
+            self.known += Coded.of(texts.distinct.take(pa.array(new)), self.pieces)
+        return numbers
+
+    def __call__(self, texts: Words | list[list[str]], numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); ``numbers`` are those of the distinct words."""
+        texts = texts if isinstance(texts, Words) else Words.listed(texts)
+        numbers = self.numbers(texts) if numbers is None else numbers
+        words, ends = numbers[texts.codes], texts.edges
+        lengths = self.known.length[words]
+        whole = np.add.reduceat(np.r_[lengths < 0, False], ends[:-1]) * (np.diff(ends) > 0) if len(ends) > 1 else np.empty(0)
         lengths = np.maximum(lengths, 0)
         begin = np.r_[0, np.cumsum(lengths)]
-        ids = self.flat[np.repeat(self.start[words] - begin[:-1], lengths) + np.arange(begin[-1])]
+        ids = self.known.flat[np.repeat(self.known.start[words] - begin[:-1], lengths) + np.arange(begin[-1])]
         at = begin[ends]
         if not whole.any():
             return ids, np.diff(at)
-        parts = [ids[a:b] if not odd else np.array(self.pieces.encode(" " + " ".join(t)), np.int32) for a, b, odd, t in zip(at, at[1:], whole, texts)]
+        text = lambda k: " ".join(texts.distinct.take(pa.array(texts.codes[ends[k] : ends[k + 1]])).to_pylist())
+        parts = [ids[a:b] if not odd else np.array(self.pieces.encode(" " + text(k)), np.int32) for k, (a, b, odd) in enumerate(zip(at, at[1:], whole))]
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
@@ -202,11 +313,10 @@ def subword_counts(words: DataFrame, path: str) -> np.ndarray:
     """Count of each subword in all training texts, from the words' counts; a row for each id comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, total = Pieces(Encoder(path)), np.zeros(VOCABULARY)
+        pieces, total = Pieces(encoder(path)), np.zeros(VOCABULARY)
         for b in batches:
-            words, times = b.column(0).to_pylist(), b.column(1).to_numpy()
-            if END in words:
-                at = words.index(END)
+            words, times = strings(b.column(0)), b.column(1).to_numpy()
+            if (at := pc.index(b.column(0), END).as_py()) >= 0:
                 total[END_ID] += times[at]
                 words[at] = ""
             ids, owner = pieces(words)
@@ -225,9 +335,9 @@ def subword_pairs(words: DataFrame, classes: np.ndarray, path: str) -> np.ndarra
     k = int(classes.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, total = Pieces(Encoder(path)), np.zeros((k, VOCABULARY))
+        pieces, total = Pieces(encoder(path)), np.zeros((k, VOCABULARY))
         for b in batches:
-            ids, owner = pieces([w if w != END else "" for w in b.column(0).to_pylist()])
+            ids, owner = pieces([w if w != END else "" for w in strings(b.column(0))])
             first = np.flatnonzero(owner[:-1] == owner[1:])
             pair, which = np.unique(classes[ids[first]] * VOCABULARY + ids[first + 1], return_inverse=True)
             total.ravel()[pair] += np.bincount(which, weights=b.column(1).to_numpy()[owner[first]], minlength=len(pair))
@@ -252,7 +362,7 @@ def blocks_of(ids: np.ndarray, counts: np.ndarray, sub: Subwords, open_ends: np.
     start = (np.cumsum(blocks) - blocks + 1) * b  # of each text, behind its block of ends
     at = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
     x = np.full(int(blocks.sum()) * b, sub.symbol[END_ID], np.int32)
-    y = np.full(len(x), -1, np.int64)
+    y = np.full(len(x), -1, np.int32)
     x[at + 1] = sub.symbol[ids]  # never past the text's blocks, which have room for the end too
     y[at], y[start + counts] = sub.cls[ids], sub.cls[END_ID]
     if open_ends is not None:
@@ -273,15 +383,15 @@ def stretches(texts: list[str], seeds: list[int], sub: Subwords, encode: Encoder
     return blocks_of(*WordIds(encode)(pieces), sub, np.array(opens, bool))
 
 
-def all_windows(texts: list[str], sub: Subwords, encode: Encoder | WordIds) -> tuple[np.ndarray, np.ndarray]:
+def all_windows(texts: Words | list[str], sub: Subwords, encode: Encoder | WordIds, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, target classes) of whole texts, in blocks as :func:`blocks_of` lays them; with the block before, each is a window."""
     ids = encode if isinstance(encode, WordIds) else WordIds(encode)
-    return blocks_of(*ids([words_of(t) for t in texts]), sub)
+    return blocks_of(*ids(texts if isinstance(texts, Words) else Words.of(pa.array(texts, pa.string())), numbers), sub)
 
 
-def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np.ndarray]:
+def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams, head: Broadcast | None = None) -> dict[str, np.ndarray]:
     """Weights from a bounded start on the driver, then one round in which every task trains on the whole of each of its
-    training documents and the results are averaged by windows. ``rows`` has (doc_id, seed, text) of training documents."""
+    training documents and the results are averaged by windows. ``rows`` has (doc_id, seed, text) of training documents; ``head`` holds the ids of frequent words."""
     shape = sub.shape
     path = p.vocabulary
     share = max(1, count // p.warm_documents)
@@ -292,7 +402,7 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
     w = train(shape, shape.init(), x, y, p.rate, p.warm_epochs) if len(x) else shape.init()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, now, seen = WordIds(Encoder(path)), w, 0
+        encode, now, seen = WordIds(encoder(path), head=head.value if head else NONE), w, 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -303,13 +413,13 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
             seen, held, count = seen + int((ys >= 0).any(axis=1).sum()), [], 0
 
         for b in batches:
-            for part in slices(b, 0, 1 << 20):
-                got = all_windows(lowered(part.column(0)), sub, encode)
-                if len(got[0]):
-                    held.append(got)
-                    count += len(got[0])
-                if count > 20_000:
-                    learn()
+            for parts, words in grouped(slices(b, 0, 1 << 20), 0):
+                numbers = encode.numbers(words)
+                for texts in words.parts([x.num_rows for x in parts]):
+                    held.append(all_windows(texts, sub, encode, numbers))
+                    count += len(held[-1][0])
+                    if count > 20_000:
+                        learn()
         if held:
             learn()
         if seen:
@@ -329,37 +439,33 @@ def fit(rows: DataFrame, count: int, sub: Subwords, p: LmParams) -> dict[str, np
 class TextScorer:
     """log10 probabilities of texts, many at a time."""
 
-    def __init__(self, sub: Subwords, weights: dict[str, np.ndarray], path: str, blocks: int = 400, score: Callable[[str, float], float] | None = None) -> None:
-        self.sub, self.scorer, self.encode, self.blocks = sub, Scorer(sub.shape, weights), WordIds(Encoder(path), score=score), blocks
+    def __init__(self, sub: Subwords, weights: dict[str, np.ndarray], path: str, blocks: int = 400, head: Coded = NONE) -> None:
+        self.sub, self.scorer, self.encode, self.blocks = sub, Scorer(sub.shape, weights), WordIds(encoder(path), head=head), blocks
 
-    def __call__(self, texts: list[list[str]], words: np.ndarray | None = None) -> np.ndarray:
-        """``texts`` are lists of words, ``words`` their numbers."""
+    def __call__(self, texts: Words, numbers: np.ndarray) -> np.ndarray:
+        """``numbers`` are those of the distinct words."""
         b, sub = self.sub.shape.block, self.sub
-        if not texts:
-            return np.empty(0)
-        ids, counts = self.encode(texts, words)
+        ids, counts = self.encode(texts, numbers)
         blocks = -(-(counts + 1) // b)
         start = (np.cumsum(blocks) - blocks) * b
         at = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))
-        prev = np.full(int(blocks.sum()) * b, -1, np.int32)
+        prev, real = np.full(int(blocks.sum()) * b, END_ID, np.int32), np.zeros(int(blocks.sum()) * b, bool)
         cur = prev.copy()
-        prev[start], prev[at + 1] = END_ID, ids
-        cur[at], cur[start + counts] = ids, END_ID
-        prev, cur = prev.reshape(-1, b), cur.reshape(-1, b)
-        owner, first = np.repeat(np.arange(len(texts)), blocks), np.zeros(len(cur), bool)
+        prev[at + 1] = ids
+        cur[at], real[at], real[start + counts] = ids, True, True
+        prev, cur, real = prev.reshape(-1, b), cur.reshape(-1, b), real.reshape(-1, b)
+        owner, first, logs = np.repeat(np.arange(len(counts)), blocks), np.zeros(len(cur), bool), np.empty(len(cur))
         first[start // b] = True
-        total = np.zeros(len(texts))
+        inside = sub.inside.ravel()
         for s in range(0, len(prev), self.blocks):
-            x, y = prev[s : s + self.blocks], cur[s : s + self.blocks]
-            real = y >= 0
-            x, y = np.where(x >= 0, x, END_ID), np.where(real, y, END_ID)
-            start = first[s : s + self.blocks].copy()
-            lead = 0
-            if s and not start[0]:  # bring the block before along, for its keys
-                x, y = np.concatenate([prev[s - 1 : s], x]), np.concatenate([y[:1], y])
-                start, lead = np.r_[True, start], 1
-            logs = self.scorer(sub.symbol[x], start, sub.cls[y])[lead:] + sub.inside[sub.cls[x[lead:]], y[lead:]]
-            total += np.bincount(owner[s : s + self.blocks], weights=(logs * real).sum(axis=1), minlength=len(texts))
+            e = min(s + self.blocks, len(prev))
+            lead = int(not first[s])  # bring the block before along, for its keys
+            x, y, opens = prev[s - lead : e], cur[s - lead : e], first[s - lead : e].copy()
+            opens[0] = True
+            cls = np.take(sub.cls, x[lead:])
+            own = self.scorer(np.take(sub.symbol, x), opens, np.take(sub.cls, y))[lead:] + np.take(inside, cls * VOCABULARY + y[lead:])
+            logs[s:e] = (own * real[s:e]).sum(axis=1)
+        total = np.bincount(owner, weights=logs, minlength=len(counts))
         return total / np.log(10)
 
 
@@ -378,48 +484,53 @@ def score_documents(docs: DataFrame, p: LmParams = LmParams(), doc_id: str = "do
     counts = parquet_cut(word_counts(learn), "words")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, floor = size["n"], size["n"] + p.add * (size["v"] + 1)
-    head = {r["word"]: r["c"] for r in counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(p.head).toLocalIterator()}
+    often = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(p.head).toArrow().combine_chunks()
     ends = (counts.filter(F.col("word") == END).first() or {"c": 0})["c"]
-    log = lambda c: float(np.log10((c + p.add) / floor))
-    known = spark.sparkContext.broadcast({w: log(c) for w, c in head.items()})
-
     encode = Encoder(p.vocabulary)
+    found = often.column("c").to_numpy()
+    head = Coded.of(pa.concat_arrays(often.column("word").chunks).cast(pa.string()) if len(found) else NONE.words, Pieces(encode))
+    known = spark.sparkContext.broadcast(head)
+    head_logs = spark.sparkContext.broadcast(np.log10((found + p.add) / floor))
+
     pieces = [encode.piece(k) for k in range(VOCABULARY - 1)] + [b""]
     id_counts = subword_counts(counts, p.vocabulary)
     classes = class_of_ids(id_counts, pieces, p.bands)
     sub = Subwords.build(id_counts, subword_pairs(counts, classes, p.vocabulary), classes, p.symbols, p.add)
     seed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    weights = fit(learn.select(seed.alias("seed"), "text"), ends, sub, p)
+    weights = fit(learn.select(seed.alias("seed"), "text"), ends, sub, p, known)
     model = spark.sparkContext.broadcast((sub, weights))
-    end_log = log(ends)
+    end_log = float(np.log10((ends + p.add) / floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = TextScorer(*model.value, p.vocabulary, score=known.value.get)
+        scorer = TextScorer(*model.value, p.vocabulary, head=known.value)
         uid = TaskContext.get().partitionId() << 40
-        names = ["word", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "times"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        kinds = {"word": pa.string(), "uid": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "times": pa.int64()}
+
+        def batches_of(**columns: pa.Array | np.ndarray | list[str]) -> Iterator[pa.RecordBatch]:
+            """In batches; columns that aren't given are null."""
+            size = len(columns["uid"])
+            arrays = [pa.nulls(size, t) if k not in columns else c.cast(t) if isinstance(c := columns[k], pa.Array) else pa.array(c, t) for k, t in kinds.items()]
+            for s in range(0, size, 50_000):
+                yield pa.RecordBatch.from_arrays([x.slice(s, 50_000) for x in arrays], [*kinds])
+
         for b in batches:
-            for part in slices(b, 2, 2 << 20):
-                words = [words_of(t) for t in lowered(part.column(2))]
-                numbers, edges = scorer.encode.numbers(words), np.cumsum([0, *map(len, words)])
-                scores = scorer(words, numbers).tolist()
-                logs = scorer.encode.scores[numbers]
-                unknown, owner = np.isnan(logs), np.repeat(np.arange(len(words)), np.diff(edges))
-                base = np.bincount(owner, weights=np.where(unknown, 0, logs), minlength=len(words)).tolist()
-                rest = defaultdict(list)
-                for k, at in zip(owner[unknown].tolist(), (np.flatnonzero(unknown) - edges[owner[unknown]]).tolist()):
-                    rest[k].append(words[k][at])
-                out: list[tuple] = []
-                for k, (doc, held, ws, score) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), words, scores)):
-                    uid += 1
-                    out.append((f" {uid}", uid, doc, held, len(ws) + 1, len(ws) - len(rest.get(k, ())) + (ends > 0), base[k] + end_log, score, None))
-                    if k in rest:
-                        out.extend((w, uid, None, None, None, None, None, None, c) for w, c in Counter(rest[k]).items())
-                    if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+            for parts, every in grouped(slices(b, 2, 2 << 20), 2):
+                numbers = scorer.encode.numbers(every)
+                by_word = np.full(len(numbers), np.nan)
+                frequent = numbers < len(head_logs.value)
+                by_word[frequent] = head_logs.value[numbers[frequent]]
+                for own, words in zip(parts, every.parts([x.num_rows for x in parts])):
+                    size, scores = own.num_rows, scorer(words, numbers)
+                    logs, owner = by_word[words.codes], np.repeat(np.arange(size), words.counts)
+                    unknown = np.isnan(logs)
+                    base = np.bincount(owner, weights=np.where(unknown, 0, logs), minlength=size)
+                    n_known = words.counts - np.bincount(owner[unknown], minlength=size) + (ends > 0)
+                    uids = uid + 1 + np.arange(size)
+                    uid += size
+                    yield from batches_of(word=[f" {u}" for u in uids.tolist()], uid=uids, doc_id=own.column(0), held_out=own.column(1), n_tokens=words.counts + 1, n_known=n_known, base=base + end_log, score=scores)
+                    rest, times = np.unique(owner[unknown] * len(words.distinct) + words.codes[unknown], return_counts=True)
+                    if len(rest):
+                        yield from batches_of(word=words.distinct.take(pa.array(rest % len(words.distinct))), uid=uids[rest // len(words.distinct)], times=times)
         tidy()
 
     schema = "word string, uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, times long"

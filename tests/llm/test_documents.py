@@ -474,6 +474,47 @@ def test_lm_ids_of_many_texts_equal_those_of_each():
     assert all(got[owner == k].tolist() == encode(" " + w) for k, w in enumerate(words))
 
 
+def test_lm_words_are_coded_once_a_batch(spark):
+    """Words come as numbers of distinct ones, cut as by words_of, and only distinct ones are looked up; counts handed out early add up."""
+    import pyarrow as pa
+
+    from graphloom.llm.common import slices
+
+    rng = np.random.default_rng(4)
+    alphabet = list("abAB \t\n\x0b\x0c\r\x1c\x85É中\u3000\x00")
+    texts = ["", " ", None, "one", " two  two ", *["".join(rng.choice(alphabet, n)) for n in rng.integers(1, 80, 300)], "\n"]
+    want = [lm.words_of(ascii_lower(t)) for t in texts]
+    for column in (pa.array(texts), pa.array(["sliced off", *texts]).slice(1), pa.array([None, ""], pa.string())):
+        words = lm.Words.of(column)
+        distinct = lm.strings(words.distinct)
+        got = [[distinct[c] for c in words.codes[a:b]] for a, b in zip(words.edges, words.edges[1:])]
+        assert got == (want if len(column) > 2 else [[], []]) and len(distinct) == len(set(distinct))
+    cut = list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 0, 100))
+    groups = list(lm.grouped(iter(cut), 0, 1000))
+    assert len(cut) > len(groups) > 10 and [x for parts, _ in groups for x in parts] == cut
+    runs = [run for parts, words in groups for run in words.parts([x.num_rows for x in parts])]
+    assert [run.counts.tolist() for run in runs] == [[len(lm.words_of(ascii_lower(t))) for t in x.column(0).to_pylist()] for x in cut]
+    encode = lm.Encoder("")
+    plain = sorted({w for t in want for w in t if w.split() == [w]})
+    for limit in (20, 1 << 18):  # what is kept, but for the head, is thrown away in between, or never
+        asked, ids = [], lm.WordIds(encode, limit, lm.Coded.of(pa.array(plain[::2]), lm.Pieces(encode)))
+        for parts, words in groups:
+            ids.pieces.encode = lambda text: (asked.append(text), encode(text))[1]
+            numbers = ids.numbers(words)
+            ids.pieces.encode = encode
+            for part, run in zip(parts, words.parts([x.num_rows for x in parts])):
+                got, counts = ids(run, numbers)
+                each = [lm.words_of(ascii_lower(t)) for t in part.column(0).to_pylist()]
+                each = [encode(" " + " ".join(t)) if t else [] for t in each]
+                assert got.tolist() == [x for t in each for x in t] and counts.tolist() == [len(t) for t in each]
+    asked = Counter(w for t in asked for w in t[1:].split(" ") if w)
+    assert set(asked) == set(plain[1::2]) and set(asked.values()) == {1}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    c = Counter(w for t in want for w in t) + Counter({lm.END: len(texts)})
+    for limit in (3, 400_000):
+        assert {r["word"]: r["c"] for r in lm.word_counts(rows, limit).collect()} == c
+
+
 def test_attention_trains_on_each_block_once():
     """Blocks that share their keys have the gradient of the windows they make, also where scores are too high for exp; a run's targets are scored once."""
     from graphloom.llm import attention
