@@ -10,9 +10,24 @@ from graphloom.functions.vectors import row_normalize
 from graphloom.operators.ordering import array_split_bucket, global_rank
 
 
-def coalesce_edges(edges: DataFrame) -> DataFrame:
-    """Parallel edges become one, with summed weight."""
-    return edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+DEALT_BYTES = 8 << 20  #: of the files below a plan for each partition that :func:`dealt` makes
+
+
+def dealt(edges: DataFrame) -> DataFrame:
+    """Edges by pair in partitions whose number grows with the files that they are read from.
+
+    The shuffle of an aggregate is coalesced to 64 MB of compressed pairs, which are millions of rows and a GB of hash tables in
+    one task. Parallel edges of a pair meet in one task without being summed before; they take no memory there.
+    """
+    leaves = edges._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(b for b in sizes if b < 1 << 60)  # what has neither files nor statistics counts as 8 EB
+    return edges.repartition(max(edges.sparkSession.sparkContext.defaultParallelism, -(-known // DEALT_BYTES)), "src", "dst")
+
+
+def coalesce_edges(edges: DataFrame, few: bool = False) -> DataFrame:
+    """Parallel edges become one, with summed weight. ``few``: most pairs have one edge, so summing before the shuffle is no use."""
+    return (dealt(edges) if few else edges).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -46,12 +61,29 @@ def weighted_degree(edges: DataFrame, key: str = "dst") -> DataFrame:
     return edges.groupBy(F.col(key).alias("id")).agg(F.sum("w").alias("deg"))
 
 
-def gcn_norm(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Self-loops, then w / sqrt(deg(src) * deg(dst)) with in-degrees by weight; 0 where a degree is 0."""
-    looped = add_self_loops(coalesce_edges(edges), nodes)
-    scale = weighted_degree(looped).select("id", F.when(F.col("deg") > 0, 1 / F.sqrt("deg")).otherwise(F.lit(0.0)).alias("s"))
+def gcn_norm(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Self-loops, then w / sqrt(deg(src) * deg(dst)) with in-degrees by weight; 0 where a degree is 0.
+
+    Without ``nodes``, every end of an edge is a node.
+    One aggregate gives the degrees and finds who needs a loop. The joins hash the nodes and let the edges pass, so no task sorts
+    edges, and partitions of hubs can be split.
+    """
+    pairs = coalesce_edges(edges, few=True)
+    end = lambda id, w, own, node: F.struct(F.col(id).alias("id"), w.cast("double").alias("w"), own.alias("own"), F.lit(node).alias("node"))
+    into = end("dst", F.col("w"), F.col("src") == F.col("dst"), 0)
+    if nodes is None:
+        ends = pairs.select(F.inline(F.array(into.withField("node", F.lit(1)), end("src", F.lit(None), F.lit(False), 1))))
+        need = F.max("node")
+    else:
+        ends = pairs.select(into.alias("end")).select("end.*").unionByName(nodes.select(end("id", F.lit(None), F.lit(False), 1).alias("end")).select("end.*"))
+        need = F.sum("node")
+    degrees = ends.groupBy("id").agg(F.sum("w").alias("deg"), F.when(F.coalesce(F.max("own"), F.lit(False)), F.lit(0)).otherwise(need).cast("int").alias("loops"))
+    deg = F.coalesce("deg", F.lit(0.0)) + F.col("loops")
+    scale = degrees.select("id", F.when(deg > 0, 1 / F.sqrt(deg)).otherwise(F.lit(0.0)).alias("s"), "loops")
     left, right = scale.select(F.col("id").alias("src"), F.col("s").alias("s1")), scale.select(F.col("id").alias("dst"), F.col("s").alias("s2"))
-    return looped.join(left, "src", "left").join(right, "dst", "left").select("src", "dst", (F.coalesce("s1", F.lit(0.0)) * F.col("w") * F.coalesce("s2", F.lit(0.0))).alias("w"))
+    joined = pairs.join(left.hint("shuffle_hash"), "src", "left").join(right.hint("shuffle_hash"), "dst", "left")
+    loops = scale.filter("loops > 0").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.when(F.col("id").isNotNull(), F.col("s") * F.col("s")).otherwise(F.lit(0.0)).alias("w"), F.explode(F.sequence(F.lit(1), F.col("loops"))).alias("k"))
+    return joined.select("src", "dst", (F.coalesce("s1", F.lit(0.0)) * F.col("w") * F.coalesce("s2", F.lit(0.0))).alias("w")).unionByName(loops.drop("k"))
 
 
 def normalize_features(nodes: DataFrame, shift_to_zero: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def supplier_part(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and parts, joined by the quantity shipped."""
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + OFFSET).alias("dst"), F.col("l_quantity").alias("w"))
-    return G.symmetrize(G.coalesce_edges(li))
+    return G.symmetrize(G.coalesce_edges(li, few=True))
 
 
 def user_event(spark: SparkSession, sf: str) -> DataFrame:

@@ -79,8 +79,7 @@ def weighted_degree(s, d):
 
 @query(f"WITH {SQL_SP}, {SQL_NORM} SELECT src, dst, {sql_round('w')} AS w FROM g")
 def gcn_norm(s, d):
-    e = X.supplier_part(s, d)
-    return r6(G.gcn_norm(e, G.node_ids(e)), "w")
+    return r6(G.gcn_norm(X.supplier_part(s, d)), "w")
 
 
 @query(f"WITH {SQL_RING}, {SQL_NORM} SELECT dst AS src, src AS dst, {sql_round('w')} AS w FROM g")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import EngineConfig, GridConfig
 from graphloom.operators import costs, graph, linalg, nn, telemetry, tiling
+from graphloom.plans import fixtures
 from graphloom.plans.preprocess import preprocess
 from graphloom.sources import catalog, text
 
@@ -226,3 +227,37 @@ def test_shards_of_every_rank_and_layer(spark, tmp_path):
                 first = {k: sorted(map(str, got[k].collect())) for k in ("features", "labels")}
             else:
                 assert first == {k: sorted(map(str, got[k].collect())) for k in ("features", "labels")}
+
+
+def test_pairs_are_dealt_by_the_size_of_their_files(spark, tmp_path, monkeypatch):
+    """Adaptive execution would put all of these pairs, and many MB of larger ones, into one task."""
+    spark.range(50_000).selectExpr("id % 911 AS l_suppkey", "id % 733 AS l_partkey", "1e0 AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    files = sum(p.stat().st_size for p in (tmp_path / "lineitem.parquet").glob("*.parquet"))
+    monkeypatch.setattr(graph, "DEALT_BYTES", files // 20, raising=False)
+    edges = fixtures.supplier_part(spark, str(tmp_path))
+    for pairs in (edges, graph.coalesce_edges(edges, few=True)):
+        each = [r["n"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(each) >= 40 and max(each) < 3 * sum(each) / len(each)
+
+
+def test_normalisation_hashes_nodes_and_sorts_no_edges(spark):
+    """Existing loops stay, isolated nodes get one, a negative degree counts as 0; without nodes all ends are nodes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(0, 1, 1.0), (0, 1, 2.0), (1, 0, 1.0), (2, 2, 4.0), (0, 2, 1.0), (1, 3, -3.0)]
+        edges = spark.createDataFrame(rows, "src long, dst long, w double")
+        for n, nodes in ((4, None), (6, spark.range(6))):
+            a = np.zeros((n, n))
+            for i, j, w in rows:
+                a[i, j] += w
+            a += np.diag(np.diag(a) == 0)
+            deg = a.sum(0)
+            s = np.where(deg > 0, 1 / np.sqrt(np.where(deg > 0, deg, 1)), 0)
+            out = graph.gcn_norm(edges, nodes) if nodes else graph.gcn_norm(edges)
+            got = {(r["src"], r["dst"]): r["w"] for r in out.collect()}
+            want = {(i, j): s[i] * a[i, j] * s[j] for i, j in zip(*np.nonzero(a))}
+            assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
