@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import EngineConfig, GridConfig
 from graphloom.operators import costs, graph, linalg, nn, telemetry, tiling
-from graphloom.plans import fixtures
+from graphloom.plans import fixtures, registry
 from graphloom.plans.preprocess import preprocess
 from graphloom.sources import catalog, text
 
@@ -261,3 +261,12 @@ def test_normalisation_hashes_nodes_and_sorts_no_edges(spark):
             assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_flagship_sorts_no_edges(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") >= 3 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
