@@ -270,3 +270,13 @@ def test_flagship_sorts_no_edges(spark):
         assert plan.count("ShuffledHashJoin") >= 3 and "SortMergeJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_self_loops_of_dealt_pairs(spark, tmp_path, monkeypatch):
+    spark.range(50_000).selectExpr("id % 911 AS l_suppkey", "id % 733 AS l_partkey", "1e0 AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(graph, "DEALT_BYTES", sum(p.stat().st_size for p in (tmp_path / "lineitem.parquet").glob("*.parquet")) // 20, raising=False)
+    out = registry.add_self_loops(spark, str(tmp_path)).cache()
+    each = [r["n"] for r in out.filter("src <> dst").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(each) >= 40 and max(each) < 3 * sum(each) / len(each)
+    assert out.filter("src = dst AND w = 1").count() == 911 + 733 == out.filter("src = dst").count()
+    out.unpersist()
