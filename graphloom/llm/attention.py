@@ -56,37 +56,43 @@ def distance_bias(dist: np.ndarray, block: int) -> np.ndarray:
 
 
 class Scorer:
-    """Scores of whole batches with the weights folded into one table for each symbol."""
+    """Scores of whole batches with the weights folded into tables by symbol, one each for states, queries, keys and values."""
 
     def __init__(self, shape: Shape, w: dict[str, np.ndarray]) -> None:
         keep_heap()
         d = shape.width
         self.shape = shape
-        self.table = np.concatenate([w["emb"], w["emb"] @ w["wq"] / np.sqrt(d), w["emb"] @ w["wk"], w["emb"] @ w["wv"]], axis=1).astype(np.float32)
+        tables = w["emb"], w["emb"] @ w["wq"] / np.sqrt(d), w["emb"] @ w["wk"], w["emb"] @ w["wv"]
+        self.tables = [np.ascontiguousarray(t, np.float32) for t in tables]
         self.near = np.ascontiguousarray(distance_bias(w["dist"], shape.block).T)
-        self.out, self.bias = w["out"], w["bias"]
+        self.out, self.bias, self.by = w["out"], w["bias"], np.exp(w["bias"])
 
     def __call__(self, symbols: np.ndarray, first: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target class. All three have one row for each block: symbols and targets are
         blocks x length, ``first`` marks blocks that begin a text and so see no earlier one."""
         b, d = self.shape.block, self.shape.width
         n = len(symbols)
-        rows = np.empty(((n + 1) * b, 4 * d), np.float32)
-        rows[:b] = 0
-        np.take(self.table, symbols.ravel(), axis=0, out=rows[b:], mode="clip")  # else numpy makes a second copy
-        line = 4 * 4 * d
-        view = lambda col, start, length: np.ndarray((n, length, d), rows.dtype, rows, start * line + 4 * col, (b * line, line, 4))
-        s = np.matmul(view(2 * d, 0, 2 * b), np.ascontiguousarray(view(d, b, b).transpose(0, 2, 1)))  # keys x queries
+        x, t, line = symbols.ravel(), targets.ravel(), 4 * d
+
+        def pairs(table: np.ndarray) -> np.ndarray:
+            rows = np.empty(((n + 1) * b, d), np.float32)
+            rows[:b] = 0
+            np.take(table, x, axis=0, out=rows[b:], mode="clip")  # else numpy makes a second copy
+            return np.ndarray((n, 2 * b, d), rows.dtype, rows, 0, (b * line, line, 4))
+
+        h, q = (np.take(table, x, axis=0, mode="clip") for table in self.tables[:2])
+        k, v = map(pairs, self.tables[2:])
+        s = np.matmul(k, np.ascontiguousarray(q.reshape(n, b, d).transpose(0, 2, 1)))  # keys x queries
         s += self.near
         s[first, :b] = MASKED
         np.exp(s, out=s)
-        o = np.matmul(s.transpose(0, 2, 1), view(3 * d, 0, 2 * b))
+        o = np.matmul(s.transpose(0, 2, 1), v)
         o /= (np.ones(2 * b, s.dtype) @ s).reshape(n, b, 1)
-        h = rows[b:, :d].reshape(n * b, d) + o.reshape(n * b, d)
+        h += o.reshape(n * b, d)
         z = h @ self.out
-        hit = z[np.arange(n * b), targets.ravel()] + self.bias[targets.ravel()]
+        hit = np.take(z.ravel(), np.arange(0, z.size, z.shape[1]) + t) + np.take(self.bias, t)
         np.exp(z, out=z)
-        return (hit - np.log(z @ np.exp(self.bias))).reshape(n, b)
+        return (hit - np.log(z @ self.by)).reshape(n, b)
 
 
 def gradient(shape: Shape, w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -111,12 +117,11 @@ def block_gradient(shape: Shape, w: dict[str, np.ndarray], sym: np.ndarray, tgt:
     wq = w["wq"] * scale
     e = np.take(w["emb"], sym.ravel(), axis=0)
     q = (e[b:] @ wq).reshape(n, b, d)
-    kv = np.empty((len(e), 2 * d + 1), kind)
-    np.matmul(e, np.concatenate([w["wk"], w["wv"]], axis=1), out=kv[:, : 2 * d])
-    kv[:, 2 * d] = 1
-    line, item = kv.strides
-    pairs = as_strided(kv, (n, 2 * b, 2 * d + 1), (b * line, line, item))
-    k, v = pairs[..., :d], pairs[..., d : 2 * d]
+    values = np.empty((len(e), d + 4), kind)  # and ones; rows of whole 16 bytes are multiplied faster, what is behind the ones is never read
+    np.matmul(e, w["wv"], out=values[:, :d])
+    values[:, d] = 1
+    k, pairs = (as_strided(x, (n, 2 * b, x.shape[1]), (b * x.strides[0], *x.strides)) for x in (e @ w["wk"], values))
+    v = pairs[..., :d]
     gap, seen = _gaps(b)
     near = np.where(seen, w["dist"][gap], kind.type(MASKED)).T.copy()
     qt = q.transpose(0, 2, 1).copy()
@@ -156,7 +161,7 @@ def block_gradient(shape: Shape, w: dict[str, np.ndarray], sym: np.ndarray, tgt:
     across = np.empty((n, d + 1, b), kind)  # with the sum of a * da in each row, which the products with the ones take off
     across[:, :d] = dn.reshape(n, b, d).transpose(0, 2, 1)
     across[:, d] = -((dn * o) @ np.ones(d, kind)).reshape(n, b)
-    ds = pairs[..., d:] @ across
+    ds = pairs[..., : d + 1] @ across
     ds *= a
     by_place = (np.ones(n, kind) @ ds.reshape(n, -1)).reshape(2 * b, b).T
     g["dist"] = np.bincount(gap[seen], weights=by_place[seen], minlength=2 * b)

@@ -663,3 +663,23 @@ def test_pii_values_followed_or_preceded_by_others():
         before, after = text.split(value)
         assert value not in new and new.startswith(before) and new.endswith(after) and len(new) == len(text), text
         assert len(kinds) == 1 and pii.pseudonymize(value)[0] == new[len(before) : len(new) - len(after)]
+
+
+def test_scorer_takes_rows_of_one_table_for_each_use():
+    """Queries, keys and values come from rows of their own, as long as a vector, and give what plain attention gives."""
+    from graphloom.llm.attention import Scorer, Shape
+
+    shape = Shape(9, 4, 8, 4)
+    w = shape.init(2)
+    w["dist"], w["bias"] = np.linspace(-1, 1, 8).astype(np.float32), np.linspace(0, 1, 4).astype(np.float32)
+    score = Scorer(shape, w)
+    assert [t.shape for t in score.tables] == [(9, 8)] * 4 and all(t.flags.c_contiguous for t in score.tables)
+    x, y = np.random.default_rng(0).integers(0, 9, (3, 4)), np.random.default_rng(1).integers(0, 4, (3, 4))
+    got = score(x, np.array([True, False, False]), y)
+    for n in (1, 2):
+        e = w["emb"][x[n - 1 : n + 1].ravel()]
+        for i in range(4):
+            seen = e[: 5 + i]
+            a = np.exp(seen @ w["wk"] @ (e[4 + i] @ w["wq"]) / np.sqrt(8) + w["dist"][4 + i - np.arange(5 + i)])
+            z = (e[4 + i] + a @ (seen @ w["wv"]) / a.sum()) @ w["out"] + w["bias"]
+            assert abs(got[n, i] - (z - np.log(np.exp(z).sum()))[y[n, i]]) < 1e-4
